@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from anvilgrid.llm import bpe, decontaminate, quality, toxicity
+from anvilgrid.llm import bpe, decontaminate, flac, pii, quality, toxicity
 
 QUERIES = {
+    "op1_flac": flac.op1_flac,
     "op2_quality": quality.op2_quality,
+    "op3_pii": pii.op3_pii,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_bpe": bpe.op9_bpe,
