@@ -2,7 +2,7 @@
 
 1. Buckets. Of each window of MATCH bytes the q-gram (Q bytes) with the least hash stands for it, so equal windows stand in
    the same bucket. Neighbouring windows of one bucket form a run; a run is dealt as (bucket, digest of its bytes, place).
-   Buckets with one place need no more work, unless a run is so long that it repeats its own q-gram.
+   Buckets with one place need no more work, unless a run has its q-gram at several places (inner), so that it may repeat itself.
 2. Equal runs. Of the runs with equal bytes only the first can be new; the others are repeated as a whole. Counting and
    taking the first is combined before the shuffle, so groups of thousands of copies are a row for each task.
 3. Refinement. The first runs of buckets with several contents are sorted: suffixes begin in buckets by their first
@@ -32,8 +32,6 @@ from anvilgrid.llm.spans import cut_spans, keyed, merged
 from anvilgrid.session import Workspace
 
 MATCH, Q = 100, 32
-#: A run of more windows than this has its q-gram at several places, so windows within it may be equal.
-ONE_GRAM = MATCH - Q + 1
 #: Windows of a run at most (longer ones are cut), and contents of a bucket that one task sorts.
 RUN_WINDOWS, TASK_RUNS = 512, 4000
 #: Bytes that one refinement works on.
@@ -46,30 +44,42 @@ def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[U64(0)], np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], dtype=U64)]), down
 
 
+def slide(f: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """f over each window of so many values, by doubling."""
+    have = 1
+    while have * 2 <= width:
+        x = f(x[:-have], x[have:])
+        have *= 2
+    return f(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
+
+
 def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(bucket, digest, text, start, windows) of each run of the texts."""
+    """(bucket, digest, text, start, windows, inner) of each run of the texts; inner: it may hold equal windows."""
     lengths = np.array([len(t) for t in texts], np.int64)
     offset = np.concatenate([[0], np.cumsum(lengths)])
     data = np.frombuffer(b"".join(texts), np.uint8)
     n = len(data) - MATCH + 1
     if n <= 0:
-        return tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     total, down = prefix_hash(data)
     h = mix((total[Q:] - total[:-Q]) * down[: len(data) - Q + 1])
-    width, have = MATCH - Q + 1, 1  # q-grams of a window
-    least = h
-    while have * 2 <= width:
-        least = np.minimum(least[:-have], least[have:])
-        have *= 2
-    if have < width:
-        least = np.minimum(least[: len(least) - (width - have)], least[width - have :])
+    width = MATCH - Q + 1  # q-grams of a window
+    least = slide(np.minimum, h, width)
+    # q-grams that are the least of some window, and of these the ones whose like is at most a window before
+    most = slide(np.maximum, np.concatenate([np.zeros(width - 1, U64), least, np.zeros(width - 1, U64)]), width)
+    chosen = np.flatnonzero(most == h)
+    order = np.argsort(h[chosen], kind="stable")
+    like = (h[chosen[order]][1:] == h[chosen[order]][:-1]) & (np.diff(chosen[order]) <= width)
+    again = np.zeros(len(h) + 1, np.int64)
+    again[chosen[order][1:][like] + 1] = 1
+    again = np.cumsum(again)
     text = np.repeat(np.arange(len(texts)), lengths)[:n]
     whole = np.arange(n) + MATCH <= offset[text + 1]
     new = np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])]) & whole
     new |= whole & ~np.concatenate([[False], whole[:-1]])
     begin = np.flatnonzero(new)
     if not len(begin):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     ends = np.concatenate([begin[1:], [n]])
     # the last run of a text ends where whole windows do
     last = offset[text[begin] + 1] - MATCH + 1
@@ -82,20 +92,21 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     size = count + MATCH - 1
     digest = mix((total[begin + size] - total[begin]) * down[begin] + size.astype(U64))
     own = text[begin]
-    return least[begin].astype(np.int64), digest.astype(np.int64), own, begin - offset[own], count
+    inner = again[begin + size - Q + 1] > again[begin + 1]
+    return least[begin].astype(np.int64), digest.astype(np.int64), own, begin - offset[own], count, inner
 
 
 def run_rows(docs: DataFrame) -> DataFrame:
-    """bucket, digest, doc_id, start, n (windows) of every run."""
+    """bucket, digest, doc_id, start, n (windows), inner of every run."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             raw, ids = [t.encode() for t in b["text"]], b["doc_id"].to_numpy(np.int64)
             for first, last in steps(raw):
-                bucket, digest, text, start, n = runs_of(raw[first:last])
-                yield pd.DataFrame({"bucket": bucket, "digest": digest, "doc_id": ids[first:last][text], "start": start, "n": n.astype(np.int32)})
+                bucket, digest, text, start, n, inner = runs_of(raw[first:last])
+                yield pd.DataFrame({"bucket": bucket, "digest": digest, "doc_id": ids[first:last][text], "start": start, "n": n.astype(np.int32), "inner": inner.astype(bool)})
 
-    return keyed(docs).mapInPandas(run, "bucket long, digest long, doc_id long, start long, n int")
+    return keyed(docs).mapInPandas(run, "bucket long, digest long, doc_id long, start long, n int, inner boolean")
 
 
 def refine(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,19 +169,19 @@ def repeated_spans(docs: DataFrame, work: Workspace, task_runs: int = TASK_RUNS)
     spark = docs.sparkSession
     # buckets with at least two runs; a count and a digest range for each task and bucket is all that is dealt
     shared = work.save(
-        run_rows(docs).select("bucket", "n", F.xxhash64("doc_id", "start").alias("place")).groupBy("bucket")
-        .agg(F.min("place").alias("a"), F.max("place").alias("b"), F.max("n").alias("n")).where(f"a != b or n > {ONE_GRAM}").select("bucket"),
+        run_rows(docs).select("bucket", "inner", F.xxhash64("doc_id", "start").alias("place")).groupBy("bucket")
+        .agg(F.min("place").alias("a"), F.max("place").alias("b"), F.max("inner").alias("inner")).where("a != b or inner").select("bucket"),
         "shared",
     )
     runs = work.save(run_rows(docs).join(shared, "bucket"), "runs")
     place = F.struct("doc_id", "start", "n")
-    contents = work.save(runs.groupBy("bucket", "digest").agg(F.min(place).alias("first"), F.max(place).alias("last")), "contents")
+    contents = work.save(runs.groupBy("bucket", "digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("inner").alias("inner")), "contents")
     # runs whose bytes were seen earlier
     several = contents.where("first != last").select("bucket", "digest", "first")
     whole = runs.join(several, ["bucket", "digest"]).where(place != F.col("first")).select("doc_id", "start", (F.col("start") + F.col("n") + (MATCH - 1)).cast("long").alias("end"))
     work.save(whole, "whole")
     # first runs of buckets with several contents
-    counts = contents.groupBy("bucket").agg(F.count(F.lit(1)).alias("contents"), F.max("first.n").alias("longest")).where(f"contents > 1 or longest > {ONE_GRAM}").drop("longest")
+    counts = contents.groupBy("bucket").agg(F.count(F.lit(1)).alias("contents"), F.max("inner").alias("inner")).where("contents > 1 or inner").drop("inner")
     todo = work.save(contents.join(counts, "bucket").select("bucket", "contents", "first.*"), "todo")
     asked = todo.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "contents", "start", "n")).alias("runs"))
 
