@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from anvilgrid.llm import bpe, chunks, decontaminate, flac, jaccard, pii, quality, substrings, toxicity
+from anvilgrid.llm import bpe, chunks, decontaminate, flac, jaccard, pii, quality, secret_scan, substrings, toxicity
 
 QUERIES = {
     "op1_flac": flac.op1_flac,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_substrings": substrings.op8_substrings,
     "op9_bpe": bpe.op9_bpe,
+    "op10_secrets": secret_scan.op10_secrets,
 }
 ORACLES = {"op4_jaccard": jaccard.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL}
