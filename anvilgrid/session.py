@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -56,7 +57,8 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}")
-        self.spark.sparkContext._jvm.System.gc()  # frees shuffle files of finished stages
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()  # with it goes what finished stages have shuffled
         return self.load(name, df.schema)
 
     def load(self, name: str, schema) -> DataFrame:
