@@ -3,8 +3,9 @@
 A document's set is its distinct five-word shingles (64-bit digests). Equal sets are one node. Two nodes link when their
 sets overlap in at least 3/7 of the sum of their sizes (a Jaccard similarity of 0.75).
 
-1. Signatures. In one order of all shingles (those found in many documents last, else by digest), linked nodes share one of
-   the first n/4 + 1 shingles of each. A shingle that only one node has among its first links nothing.
+1. Signatures. In one order of all shingles (those found in many documents last, else by digest), the first l shingles that
+   linked nodes have in common are among the first n/4 + l of each. With l = n/16 + 1 and a partner of at least 3/4 of
+   the size, a node that links to any other shares 3n/64 + 1 of its first shingles; nodes that share fewer drop out.
 2. Neighbourhoods. The nodes that share a signature belong to the neighbourhood of that signature's least node. So all nodes
    of a shared signature are together in one neighbourhood, and a node is in few of them, whatever its size.
 3. Stars. Each member is compared with its neighbourhood's least node; members stream by, so a neighbourhood may hold a
@@ -127,7 +128,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             order = np.lexsort((gram, late, owner))
             ranked = gram[order].astype(np.int64)
             some = n > 0
-            ends = bounds[:-1] + n // 4 + 1
+            ends = bounds[:-1] + n // 4 + n // 16 + 1
             yield pd.DataFrame({"node": node[some], "n": n[some], "signature": [ranked[a:z] for a, z in zip(bounds[:-1][some], ends[some], strict=True)]})
 
     return keyed(docs).mapInPandas(run, "node long, n long, signature array<long>")
@@ -247,11 +248,17 @@ def find_links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, work: Wo
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = work.save(signatures(docs, frequent), "signatures")
-    each = signed.select("node", F.explode("signature").alias("signature"))
-    shared = work.save(each.groupBy("signature").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center != other").select("signature", "center"), "shared")
-    members = work.save(each.join(shared, "signature").select("center", "node").distinct(), "members")
+    each = signed.select("node", "n", F.explode("signature").alias("signature"))
+    shared = work.save(each.groupBy("signature").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("signature"), "shared")
+    common = work.save(each.join(shared, "signature").distinct(), "common")
     work.drop("signatures")
     work.drop("shared")
+    able = common.groupBy("node", "n").agg(F.count(F.lit(1)).alias("shared")).where("shared >= floor(3 * n / 64) + 1").select("node")
+    common = work.save(common.join(able, "node", "left_semi").select("signature", "node"), "able")
+    work.drop("common")
+    centers = common.groupBy("signature").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center != other").select("signature", "center")
+    members = work.save(common.join(centers, "signature").select("center", "node").distinct(), "members")
+    work.drop("able")
     sizes = work.save(members.groupBy("center").agg(F.count(F.lit(1)).alias("members")), "sizes")
     # the sets of the nodes that have neighbours, from one text of each
     asked = nodes.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
@@ -260,7 +267,7 @@ def find_links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, work: Wo
         for _, node, gram, bounds in read_sets(batches):
             yield pd.DataFrame({"node": node, "shingles": [gram[a:z].astype(np.int64) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]})
 
-    known = work.save(keyed(docs).join(asked, "doc_id").mapInPandas(sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    known = work.save(keyed(docs).join(asked, "doc_id").mapInPandas(sets, "node long, shingles array<long>"), "sets")
     salts = F.ceil(F.col("members") / TASK_MEMBERS).cast("int")
     star = (
         members.join(sizes, "center").where("node != center").join(known, "node")
