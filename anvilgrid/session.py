@@ -64,6 +64,12 @@ class Workspace:
     def load(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
+    def inner(self, name: str) -> Workspace:
+        """A workspace within this one."""
+        out = Workspace(self.spark, name)
+        out.path = f"{self.path}/{name}"
+        return out
+
     def fs(self):
         jvm, path = self.spark.sparkContext._jvm, self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
