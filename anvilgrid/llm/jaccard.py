@@ -8,12 +8,14 @@ sets overlap in at least 3/7 of the sum of their sizes (a Jaccard similarity of
    the size, a node that links to any other shares 3n/64 + 1 of its first shingles; nodes that share fewer drop out.
 2. Neighbourhoods. The nodes that share a signature belong to the neighbourhood of that signature's least node. So all nodes
    of a shared signature are together in one neighbourhood, and a node is in few of them, whatever its size.
-3. Stars. Each member is compared with its neighbourhood's least node; members stream by, so a neighbourhood may hold a
-   third of all nodes; it is dealt over many tasks.
-4. T-occurrence search. Members that do not link to the least node are indexed by shingle, in blocks; all members search
-   these indexes. A search needs T of the query's inverted lists to name a node: the L longest lists are set aside, the
-   others are merged by a heap, nodes that they name at least T - L times are probed in the long lists by binary search
-   (DivideSkip). Nodes that are connected already are not linked again, so a group of copies yields a tree of links.
+3. Stars. Each member is compared with the least node of the neighbourhood that it shares most signatures with; members
+   stream by, so a neighbourhood may hold a third of all nodes; it is dealt over many tasks. Their links' components
+   are found.
+4. T-occurrence search. In a neighbourhood that holds several components, the members outside its largest one are indexed by
+   shingle, in blocks; all members search these indexes. A search needs T of the query's inverted lists to name a node:
+   the L longest lists are set aside, the others are merged by a heap, nodes that they name at least T - L times are
+   probed in the long lists by binary search (DivideSkip). Nodes that are connected already are not linked again, so a
+   group of copies yields a tree of links. Texts are dealt, not sets: they take less room, and sets are made anew.
 5. Components of the links, then the least doc_id of each.
 
 No link between different sets is lost: the signatures are exact, blocks cover all pairs of 4, and there is no cap.
@@ -46,6 +48,8 @@ TASK_MEMBERS, BLOCK = 2000, 2000
 FREQUENT = 0.002
 #: Weighs a binary probe against a step of the heap when the long lists are chosen.
 MU = 0.05
+#: Ids that are broadcast to pick texts; beyond it they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 IS_WORD = not_bytes((9, 13), (32, 32))
 
 
@@ -158,19 +162,29 @@ def enough(overlap, n, m):
     return 7 * overlap >= 3 * (n + m)
 
 
+def with_sets(b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Rows with the shingle sets of their texts, some at a time."""
+    raw = [t.encode() for t in b["text"]]
+    for first, last in steps(raw):
+        gram, bounds = shingle_sets(raw[first:last])
+        yield b.iloc[first:last], [gram[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def compare_with_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by (center, salt, role): the center's set comes first, members stream by."""
     key = center = None
     for b in batches:
         out = []
-        for c, salt, role, node, s in zip(b["center"], b["salt"], b["role"], b["node"], b["shingles"], strict=True):
-            if role == 0:
-                key, center = (c, salt), np.asarray(s)
-            else:
-                assert key == (c, salt), "a member came without its center"
-                overlap = np.intersect1d(center, s, assume_unique=True).size if 4 * len(s) >= 3 * len(center) and 4 * len(center) >= 3 * len(s) else 0
-                out.append((c, node, bool(enough(overlap, len(center), len(s)))))
-        yield pd.DataFrame(out, columns=["center", "node", "linked"])
+        for part, sets in with_sets(b):
+            for c, salt, role, node, s in zip(part["center"], part["salt"], part["role"], part["node"], sets, strict=True):
+                if role == 0:
+                    key, center = (c, salt), s
+                else:
+                    assert key == (c, salt), "a member came without its center"
+                    overlap = np.intersect1d(center, s, assume_unique=True).size if 4 * len(s) >= 3 * len(center) and 4 * len(center) >= 3 * len(s) else 0
+                    if enough(overlap, len(center), len(s)):
+                        out.append((c, node))
+        yield pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
 
 
 class Index:
@@ -218,10 +232,11 @@ def bisect(x: list[int], value: int) -> int:
 def search_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by (center, block, part): links between the block's indexed nodes and the part's members."""
     for g in in_groups(batches, ["center", "block", "part"]):
-        indexed = g["role"] == 0
-        nodes = g.loc[indexed, "node"].tolist()
-        index = Index(g.loc[indexed, "shingles"].tolist())
-        root = {}
+        sets = [s for _, part in with_sets(g) for s in part]
+        roles, names, roots = g["role"].tolist(), g["node"].tolist(), g["root"].tolist()
+        nodes = [n for n, r in zip(names, roles, strict=True) if r == 0]
+        index = Index([s for s, r in zip(sets, roles, strict=True) if r == 0])
+        of, root = dict(zip(names, roots, strict=True)), {}
 
         def find(x, root=root):
             while root.setdefault(x, x) != x:
@@ -229,14 +244,9 @@ def search_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return x
 
         out = []
-        rest = g[~indexed]
-        center = g["center"].iloc[0]
-        for node, linked in zip(rest["node"].tolist(), rest["linked"].tolist(), strict=True):
-            if linked:  # a link of the star; not reported again
-                root[find(node)] = find(center)
-        for node, s in zip(rest["node"].tolist(), rest["shingles"], strict=True):
-            for i, _ in index.search(np.asarray(s)):
-                a, b = find(node), find(nodes[i])
+        for node, s, role in zip(names, sets, roles, strict=True):
+            for i, _ in index.search(s) if role else ():
+                a, b = find(of[node]), find(of[nodes[i]])
                 if a != b:
                     root[a] = b
                     out.append((node, nodes[i]))
@@ -257,35 +267,37 @@ def find_links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, work: Wo
     common = work.save(common.join(able, "node", "left_semi").select("signature", "node"), "able")
     work.drop("common")
     centers = common.groupBy("signature").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center != other").select("signature", "center")
-    members = work.save(common.join(centers, "signature").select("center", "node").distinct(), "members")
+    members = work.save(common.join(centers, "signature").groupBy("center", "node").agg(F.count(F.lit(1)).alias("shared")), "members")
     work.drop("able")
-    sizes = work.save(members.groupBy("center").agg(F.count(F.lit(1)).alias("members")), "sizes")
-    # the sets of the nodes that have neighbours, from one text of each
-    asked = nodes.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, node, gram, bounds in read_sets(batches):
-            yield pd.DataFrame({"node": node, "shingles": [gram[a:z].astype(np.int64) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]})
-
-    known = work.save(keyed(docs).join(asked, "doc_id").mapInPandas(sets, "node long, shingles array<long>"), "sets")
+    # a text of each node that has neighbours
+    asked = nodes.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    asked = work.save(asked, "asked")
+    few = asked.count() <= BROADCAST_IDS
+    texts = work.save(keyed(docs).join(F.broadcast(asked) if few else asked, "doc_id").select("node", "text"), "texts")
+    main = work.save(members.where("node != center").groupBy("node").agg(F.max_by("center", F.struct("shared", "center")).alias("center")), "main")
+    sizes = main.groupBy("center").agg(F.count(F.lit(1)).alias("members"))
     salts = F.ceil(F.col("members") / TASK_MEMBERS).cast("int")
     star = (
-        members.join(sizes, "center").where("node != center").join(known, "node")
-        .select("center", F.pmod(F.hash("node"), salts).alias("salt"), F.lit(1).alias("role"), "node", "shingles")
-        .unionByName(sizes.join(known.withColumnRenamed("node", "center"), "center").select("center", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("role"), F.col("center").alias("node"), "shingles"))
-        .repartition(parts, "center", "salt").sortWithinPartitions("center", "salt", "role")
-        .mapInPandas(compare_with_first, "center long, node long, linked boolean")
+        main.join(sizes, "center").select("center", F.pmod(F.hash("node"), salts).alias("salt"), F.lit(1).alias("role"), "node")
+        .unionByName(sizes.select("center", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("role"), F.col("center").alias("node")))
+        .join(texts, "node").repartition(parts, "center", "salt").sortWithinPartitions("center", "salt", "role")
+        .mapInPandas(compare_with_first, "a long, b long")
     )
     star = work.save(star, "star")
-    # neighbourhoods with members that the least node does not account for: blocks of these against parts of all members
-    left = star.groupBy("center").agg(F.count_if(~F.col("linked")).alias("rest"), F.count(F.lit(1)).alias("all")).where("rest > 0 and all > 1")
-    blocks, pieces = F.ceil(F.col("rest") / block).cast("int"), F.ceil(F.col("all") / block).cast("int")
-    work.save(star.join(left, "center").withColumn("blocks", blocks).withColumn("parts", pieces), "open")
-    todo = work.load("open", star.join(left, "center").withColumn("blocks", blocks).withColumn("parts", pieces).schema).join(known, "node")
-    indexed = todo.where("not linked").select("center", F.pmod(F.hash("node"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "node", "linked", "shingles")
-    asking = todo.select("center", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash("node"), "parts").alias("part"), F.lit(1).alias("role"), "node", "linked", "shingles")
-    found = indexed.unionByName(asking).repartition(parts, "center", "block", "part").sortWithinPartitions("center", "block", "part", "role", "node").mapInPandas(search_blocks, "a long, b long")
-    return work.save(star.where("linked").select(F.col("center").alias("a"), F.col("node").alias("b")).unionByName(found), "links")
+    roots = components(star, work.inner("star_roots"))
+    # neighbourhoods of several components: blocks of the members outside the largest one against parts of all members
+    placed = work.save(members.join(roots, "node", "left").select("center", "node", F.coalesce("root", "node").alias("root")), "placed")
+    largest = placed.groupBy("center", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("center").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.sum("size").alias("all"), F.max("size").alias("size"))
+    largest = largest.where("size < all")
+    # two members that the star compared need no second look
+    pairs = members.join(main, ["node", "center"], "left_semi").select("center").distinct()
+    wide = largest.join(pairs.withColumn("seen", F.lit(True)), "center", "left").where("all > 2 or seen is null")
+    wide = wide.select("center", "largest", F.ceil((F.col("all") - F.col("size")) / block).cast("int").alias("blocks"), F.ceil(F.col("all") / block).cast("int").alias("parts"))
+    todo = work.save(placed.join(wide, "center"), "open")
+    indexed = todo.where("root != largest").select("center", F.pmod(F.hash("node"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "node", "root")
+    asking = todo.select("center", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash("node"), "parts").alias("part"), F.lit(1).alias("role"), "node", "root")
+    found = indexed.unionByName(asking).join(texts, "node").repartition(parts, "center", "block", "part").sortWithinPartitions("center", "block", "part", "role", "node").mapInPandas(search_blocks, "a long, b long")
+    return work.save(star.unionByName(found), "links")
 
 
 def join_similar(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -295,7 +307,7 @@ def join_similar(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     links = find_links(docs, nodes, frequent, work, block)
     roots = components(links, work)
     rooted = work.save(nodes.join(roots, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root")), "rooted")
-    for name in ("survey", "members", "sizes", "sets", "star", "open"):
+    for name in ("survey", "members", "asked", "texts", "main", "star", "placed", "open"):
         work.drop(name)
     least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     own = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
