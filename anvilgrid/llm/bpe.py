@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anvilgrid.llm.common import doc_view, documents
+from anvilgrid.llm.common import doc_view, documents, nonempty
 from anvilgrid.session import Workspace
 
 #: Splits text before merging (fixed by the vocabulary's format).
@@ -255,7 +255,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS)
         top = seen.most_common(TASK_WORDS)
         yield pd.DataFrame({"word": [w for w, _ in top], "n": [n for _, n in top]})
 
-    found = doc_view(docs).select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = doc_view(docs).select("text").mapInPandas(nonempty(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r.word for r in found.orderBy(F.desc("n"), "word").limit(words).collect()]
 
 
@@ -288,7 +288,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORD
             yield frame.astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return doc_view(docs).mapInPandas(run, schema + (", ids array<int>, decoded string" if ids else ""))
+    return doc_view(docs).mapInPandas(nonempty(run), schema + (", ids array<int>, decoded string" if ids else ""))
 
 
 def default_vocabulary() -> str:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anvilgrid.llm.common import U64, documents, mix, steps
+from anvilgrid.llm.common import U64, documents, mix, steps, nonempty
 from anvilgrid.llm.spans import cut_spans, keyed
 from anvilgrid.session import Workspace
 
@@ -77,7 +77,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                         doc += [ids[k]] * len(ends)
                 yield pd.DataFrame({"digest": digests, "doc_id": np.array(doc, np.int64), "start": np.array(starts, np.int64), "size": np.array(sizes, np.int32)})
 
-    return keyed(docs).mapInPandas(run, "digest binary, doc_id long, start long, size int")
+    return keyed(docs).mapInPandas(nonempty(run), "digest binary, doc_id long, start long, size int")
 
 
 def repeated_chunks(docs: DataFrame, work: Workspace) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anvilgrid.llm.common import LOWER, doc_view, documents, steps
+from anvilgrid.llm.common import LOWER, doc_view, documents, steps, nonempty
 from anvilgrid.session import ship
 
 WINDOW = 13
@@ -236,7 +236,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                     counts, spans, found = phrases.hits(raw[first:last])
                     yield pd.DataFrame({"doc_id": b["doc_id"].iloc[first:last].astype("Int64").array, "n_words": counts, "spans": [[{"start": x, "end": y} for x, y in s] for s in spans], "items": [sorted(f) for f in found]})
 
-        return view.mapInPandas(run, schema)
+        return view.mapInPandas(nonempty(run), schema)
 
     passes = [search(block) for block in blocks(benchmark, block_words)] or [search([])]
     if len(passes) == 1:
@@ -251,7 +251,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         for b in batches:
             yield b.assign(doc_id=b["doc_id"].astype("Int64"), spans=[[{"start": x, "end": y} for x, y in merge_spans([(s["start"], s["end"]) for s in ss])] for ss in b["spans"]])
 
-    return together.mapInPandas(merge, schema)
+    return together.mapInPandas(nonempty(merge), schema)
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                 out = out.assign(n_chars=[None if t is None else len(t) for t in out["text"]])
             yield out
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInPandas(nonempty(run), docs.schema)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

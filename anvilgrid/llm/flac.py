@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from anvilgrid.llm.common import doc_view, documents
+from anvilgrid.llm.common import doc_view, documents, nonempty
 from anvilgrid.session import ship
 
 BLOCK, RATE, BITS = 576, 8000, 8
@@ -526,7 +526,7 @@ def media_column(docs: DataFrame, media: bool = True) -> DataFrame:
         return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return doc_view(docs).mapInPandas(run, schema + (", media binary, offsets array<long>" if media else ""))
+    return doc_view(docs).mapInPandas(nonempty(run), schema + (", media binary, offsets array<long>" if media else ""))
 
 
 def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anvilgrid.llm.common import LOWER, U64, Words, documents, mix, not_bytes, steps
+from anvilgrid.llm.common import LOWER, U64, Words, documents, mix, not_bytes, steps, nonempty
 from anvilgrid.llm.components import components
 from anvilgrid.llm.spans import NO_ID, keyed
 from anvilgrid.session import Workspace
@@ -110,7 +110,7 @@ def survey(docs: DataFrame, work: Workspace) -> tuple[DataFrame, np.ndarray]:
             seen.update(dict(zip(values[often].astype(np.int64).tolist(), count[often].tolist(), strict=True)))
         yield pd.DataFrame({"doc_id": None, "n": list(seen.values()), "node": None, "shingle": list(seen)})
 
-    every = work.save(keyed(docs).mapInPandas(run, "doc_id long, n long, node long, shingle long"), "survey")
+    every = work.save(keyed(docs).mapInPandas(nonempty(run), "doc_id long, n long, node long, shingle long"), "survey")
     nodes = every.where("shingle is null").drop("shingle")
     least = max(3, int(FREQUENT * nodes.count()))
     often = every.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "shingle").limit(1_000_000).select("shingle")
@@ -135,7 +135,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             ends = bounds[:-1] + n // 4 + n // 16 + 1
             yield pd.DataFrame({"node": node[some], "n": n[some], "signature": [ranked[a:z] for a, z in zip(bounds[:-1][some], ends[some], strict=True)]})
 
-    return keyed(docs).mapInPandas(run, "node long, n long, signature array<long>")
+    return keyed(docs).mapInPandas(nonempty(run), "node long, n long, signature array<long>")
 
 
 def in_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -281,7 +281,7 @@ def find_links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, work: Wo
         main.join(sizes, "center").select("center", F.pmod(F.hash("node"), salts).alias("salt"), F.lit(1).alias("role"), "node")
         .unionByName(sizes.select("center", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("role"), F.col("center").alias("node")))
         .join(texts, "node").repartition(parts, "center", "salt").sortWithinPartitions("center", "salt", "role")
-        .mapInPandas(compare_with_first, "a long, b long")
+        .mapInPandas(nonempty(compare_with_first), "a long, b long")
     )
     star = work.save(star, "star")
     roots = components(star, work.inner("star_roots"))
@@ -296,7 +296,7 @@ def find_links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, work: Wo
     todo = work.save(placed.join(wide, "center"), "open")
     indexed = todo.where("root != largest").select("center", F.pmod(F.hash("node"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "node", "root")
     asking = todo.select("center", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash("node"), "parts").alias("part"), F.lit(1).alias("role"), "node", "root")
-    found = indexed.unionByName(asking).join(texts, "node").repartition(parts, "center", "block", "part").sortWithinPartitions("center", "block", "part", "role", "node").mapInPandas(search_blocks, "a long, b long")
+    found = indexed.unionByName(asking).join(texts, "node").repartition(parts, "center", "block", "part").sortWithinPartitions("center", "block", "part", "role", "node").mapInPandas(nonempty(search_blocks), "a long, b long")
     return work.save(star.unionByName(found), "links")
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anvilgrid.llm.common import U64, Words, doc_view, documents, fold, labelled_sample, mix, not_bytes, steps
+from anvilgrid.llm.common import U64, Words, doc_view, documents, fold, labelled_sample, mix, not_bytes, steps, nonempty
 from anvilgrid.session import ship
 
 BITS = 18
@@ -114,7 +114,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             parts = [score(raw[i:j], sent.value) for i, j in steps(raw)]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": np.concatenate(parts) if parts else np.zeros(0)})
 
-    return doc_view(docs).mapInPandas(run, "doc_id long, score double")
+    return doc_view(docs).mapInPandas(nonempty(run), "doc_id long, score double")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anvilgrid.llm.common import doc_view
+from anvilgrid.llm.common import doc_view, nonempty
 from anvilgrid.session import ship
 
 #: Stands for a null doc_id while rows are joined.
@@ -60,4 +60,4 @@ def cut_spans(docs: DataFrame, spans: DataFrame, text: bool = True) -> DataFrame
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["removed", "kept"] if text else [])]).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return joined.mapInPandas(run, schema + (", removed array<struct<start:long,end:long>>, kept binary" if text else ""))
+    return joined.mapInPandas(nonempty(run), schema + (", removed array<struct<start:long,end:long>>, kept binary" if text else ""))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anvilgrid.llm.common import BASE, U64, documents, mix, powers, steps
+from anvilgrid.llm.common import BASE, U64, documents, mix, powers, steps, nonempty
 from anvilgrid.llm.spans import cut_spans, keyed, merged
 from anvilgrid.session import Workspace
 
@@ -106,7 +106,7 @@ def run_rows(docs: DataFrame) -> DataFrame:
                 bucket, digest, text, start, n, inner = runs_of(raw[first:last])
                 yield pd.DataFrame({"bucket": bucket, "digest": digest, "doc_id": ids[first:last][text], "start": start, "n": n.astype(np.int32), "inner": inner.astype(bool)})
 
-    return keyed(docs).mapInPandas(run, "bucket long, digest long, doc_id long, start long, n int, inner boolean")
+    return keyed(docs).mapInPandas(nonempty(run), "bucket long, digest long, doc_id long, start long, n int, inner boolean")
 
 
 def refine(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +203,7 @@ def repeated_spans(docs: DataFrame, work: Workspace, task_runs: int = TASK_RUNS)
                         cols["bytes"].append(part)
             yield pd.DataFrame(cols)
 
-    pieces = keyed(docs).join(asked, "doc_id").mapInPandas(cut, "bucket long, hot boolean, doc_id long, start long, bytes binary")
+    pieces = keyed(docs).join(asked, "doc_id").mapInPandas(nonempty(cut), "bucket long, hot boolean, doc_id long, start long, bytes binary")
     work.save(pieces, "pieces")
     pieces = work.load("pieces", pieces.schema)
 
@@ -227,7 +227,7 @@ def repeated_spans(docs: DataFrame, work: Workspace, task_runs: int = TASK_RUNS)
         if held:
             yield done(held)
 
-    cold = pieces.where("not hot").repartition(spark_partitions(spark), "bucket").sortWithinPartitions("bucket").mapInPandas(sort, SPAN)
+    cold = pieces.where("not hot").repartition(spark_partitions(spark), "bucket").sortWithinPartitions("bucket").mapInPandas(nonempty(sort), SPAN)
     windows = pieces.where("hot").select(F.md5("bytes").alias("digest"), "doc_id", "start")
     firsts = windows.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).where("first != last").select("digest", "first")
     hot = windows.join(firsts, "digest").where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", (F.col("start") + MATCH).cast("long").alias("end"))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anvilgrid.llm.common import U64, Words, doc_view, documents, fold, labelled_sample, mix, not_bytes
+from anvilgrid.llm.common import U64, Words, doc_view, documents, fold, labelled_sample, mix, not_bytes, nonempty
 from anvilgrid.session import ship
 
 #: Labelled rows that lexicon and weights are fitted on at most.
@@ -242,7 +242,7 @@ def score_toxicity(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> Data
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": [rate(lexicon, weights, t) for t in b["text"]]})
 
-    return doc_view(docs).mapInPandas(run, "doc_id long, score double")
+    return doc_view(docs).mapInPandas(nonempty(run), "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, model: tuple[list[str], np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
@@ -255,7 +255,7 @@ def drop_toxic(docs: DataFrame, model: tuple[list[str], np.ndarray], threshold:
         for b in batches:
             yield b[np.array([rate(lexicon, weights, t or "") < threshold for t in b["text"]], bool)]
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInPandas(nonempty(run), docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
