@@ -99,6 +99,8 @@ def test_pii_base_spans(docs, none):
         assert pii.base_spans(t) == brute(t), t
     found = by_id(pii.find_pii(docs, None).collect())
     assert [s["kind"] for s in found[26]["base"]] == ["email", "ip", "card", "phone"]
+    row = next(r for r in pii.listed(pii.find_pii(docs, None)).collect() if r.doc_id == 26)
+    assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 1, 1, 1) and row.base_sha256 == hashlib.sha256(row.spans.encode()).hexdigest()
     assert pii.find_pii(none, None).count() == 0 and pii.fit_pii(none) is None
 
 
