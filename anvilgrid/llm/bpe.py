@@ -20,6 +20,7 @@ import os
 import struct
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +33,10 @@ from anvilgrid.session import Workspace
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words of the corpus that the lexicon takes at most, and the most a task reports.
 LEXICON_WORDS, TASK_WORDS = 50_000, 20_000
-#: Words that a worker remembers between look-ups, and the longest word that it remembers.
-REMEMBERED, REMEMBERED_BYTES = 400_000, 64
+#: Words that a worker remembers in each of two generations, and the longest word that it remembers.
+REMEMBERED, REMEMBERED_BYTES = 250_000, 64
+#: Bytes of a word up to which its merges are found by scanning.
+SHORT = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -54,37 +57,63 @@ class Vocabulary:
         self.ids = {raw(k): v for k, v in spec["model"]["vocab"].items()}
         self.bytes = {v: k for k, v in self.ids.items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.rank = {(self.ids[raw(a)], self.ids[raw(b)]): (i, self.ids[raw(a + b)]) for i, (a, b) in enumerate(pairs)}
+        #: rank of a pair (two ids as one number), and the id that the merge of a rank makes
+        self.rank, self.made = {}, []
+        for i, (a, b) in enumerate(pairs):
+            self.rank[self.ids[raw(a)] << 32 | self.ids[raw(b)]] = i
+            self.made.append(self.ids[raw(a + b)])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes |= {v: k.encode() for k, v in self.special.items()}
         self.one = [self.ids[bytes([b])] for b in range(256)]
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact merges, lowest rank first and leftmost among equals: a heap over a linked list of parts."""
-        ids, rank = [self.one[b] for b in word], self.rank
-        n = len(ids)
-        if n < 2:
-            return ids
+        """Exact merges, lowest rank first and leftmost among equals."""
+        ids = [self.one[b] for b in word]
+        return self.merge_short(ids) if len(ids) <= SHORT else self.merge_long(ids)
+
+    def merge_short(self, ids: list[int]) -> list[int]:
+        """The least of the list of ranks, each time; for few parts that is cheaper than a heap."""
+        rank, made, none = self.rank.get, self.made, len(self.made)
+        ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (r := min(ranks)) < none:
+            i = ranks.index(r)
+            ids[i] = m = made[r]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 32 | m, none)
+            if i < len(ranks):
+                ranks[i] = rank(m << 32 | ids[i + 1], none)
+        return ids
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """A heap over a linked list of parts: O(n log n) for words of any length."""
+        rank, made, n = self.rank.get, self.made, len(ids)
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = made, -1
+            ids[i], ids[j] = (m := made[r]), -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if r := rank.get((made, ids[k])):
-                    heapq.heappush(heap, (r[0], i, made, ids[k], r[1]))
+                if (r := rank(m << 32 | ids[k])) is not None:
+                    heapq.heappush(heap, (r, i, m, ids[k]))
             h = before[i]
-            if h >= 0 and (r := rank.get((ids[h], made))):
-                heapq.heappush(heap, (r[0], h, ids[h], made, r[1]))
+            if h >= 0 and (r := rank(ids[h] << 32 | m)) is not None:
+                heapq.heappush(heap, (r, h, ids[h], m))
         return [i for i in ids if i >= 0]
 
 
+@lru_cache(maxsize=2)
+def vocabulary_of(path: str) -> Vocabulary:
+    """A worker reads a file once for all of its tasks."""
+    return Vocabulary(path)
+
+
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """The minimal acyclic transducer of the words, as one file image.
 
@@ -197,15 +226,29 @@ def splitter(special: dict[str, int]):
     return split
 
 
-class Codec:
-    """Encodes and decodes with a lexicon file; one for each worker."""
+class Codec(dict):
+    """Encodes and decodes with a lexicon file; one for each worker.
+
+    As a dict it remembers words: ids as text, and the bytes that the ids decode to (no lists, so that there is little
+    for the garbage collector to walk). Once it is full it becomes the
+    older generation, from which a word that comes again is taken over, so frequent words are not forgotten.
+    """
 
     def __init__(self, vocabulary: str, lexicon: str):
-        self.vocabulary, self.lexicon = Vocabulary(vocabulary), Lexicon(lexicon)
-        self.split, self.seen = splitter(self.vocabulary.special), {}
+        super().__init__()
+        self.vocabulary, self.lexicon = vocabulary_of(vocabulary), Lexicon(lexicon)
+        self.split, self.older = splitter(self.vocabulary.special), {}
 
-    def word(self, w: str) -> tuple[str, list[int], bytes]:
-        """Ids as text, ids, and the bytes that the ids decode to."""
+    def __missing__(self, w: str) -> tuple[str, bytes]:
+        out = self.older.get(w) or self.word(w)
+        if len(w) <= REMEMBERED_BYTES:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[w] = out
+        return out
+
+    def word(self, w: str) -> tuple[str, bytes]:
         v = self.vocabulary
         if w in v.special:
             ids = [v.special[w]]
@@ -214,16 +257,10 @@ class Codec:
             ids = self.lexicon.get(raw)
             if ids is None:
                 ids = v.merge(raw)
-        out = (",".join(map(str, ids)), ids, b"".join([v.bytes[i] for i in ids]))
-        if len(w) <= REMEMBERED_BYTES:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            self.seen[w] = out
-        return out
+        return ",".join(map(str, ids)), b"".join([v.bytes[i] for i in ids])
 
-    def encode(self, text: str) -> list[tuple[str, list[int], bytes]]:
-        get, word = self.seen.get, self.word
-        return [get(w) or word(w) for w in self.split(text)]
+    def encode(self, text: str) -> list[tuple[str, bytes]]:
+        return [*map(self.__getitem__, self.split(text))]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.vocabulary.bytes[i] for i in ids]).decode("utf-8", "replace")
@@ -246,7 +283,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS)
     """The corpus's most frequent words; each task counts all of its texts and reports its own most frequent ones."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, seen = splitter(Vocabulary(vocabulary).special), Counter()
+        split, seen = splitter(vocabulary_of(vocabulary).special), Counter()
         for b in batches:
             for t in b["text"]:
                 seen.update(split(t))
@@ -261,7 +298,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS)
 
 def build_lexicon(docs: DataFrame, vocabulary: str, work: Workspace, words: int = LEXICON_WORDS) -> str:
     """Compiles the lexicon and gives it to all executors; returns its file name."""
-    v = Vocabulary(vocabulary)
+    v = vocabulary_of(vocabulary)
     raw = {w.encode() for w in frequent_words(docs, vocabulary, words) if w not in v.special}
     raw |= {b for b, i in v.ids.items() if len(b) > 1 and b.strip().isalpha() and v.merge(b) == [i]}
     name = f"{work.path.rsplit('/', 1)[-1]}.lexicon"
@@ -281,9 +318,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORD
             out = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 parts = c.encode(text)
-                decoded = b"".join([p[2] for p in parts]).decode("utf-8", "replace")
-                row = [doc_id, sum([len(p[1]) for p in parts]), hashlib.sha256(",".join([p[0] for p in parts]).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-                out.append([*row, [i for p in parts for i in p[1]], decoded] if ids else row)
+                decoded = b"".join([p[1] for p in parts]).decode("utf-8", "replace")
+                listed = ",".join([p[0] for p in parts])
+                row = [doc_id, listed.count(",") + 1 if parts else 0, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
+                out.append([*row, [int(i) for i in listed.split(",") if i], decoded] if ids else row)
             frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if ids else [])])
             yield frame.astype({"doc_id": "Int64"})
 
