@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anvilgrid.llm.common import BASE, U64, documents, mix, powers, steps, nonempty
-from anvilgrid.llm.spans import cut_spans, keyed, merged
+from anvilgrid.llm.spans import cut_spans, keyed
 from anvilgrid.session import Workspace
 
 MATCH, Q = 100, 32
@@ -150,15 +150,13 @@ def repeated_windows(parts: list[bytes], doc: np.ndarray, place: np.ndarray) ->
 
 
 def as_spans(doc: np.ndarray, start: np.ndarray) -> pd.DataFrame:
-    """Windows as merged spans of each document."""
-    out = []
-    order = np.argsort(doc, kind="stable")
+    """Windows as merged spans of each document, all documents at once."""
+    order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
-    edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(1, np.int64)
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        s, e = merged(start[a:b], start[a:b] + MATCH)
-        out.append(pd.DataFrame({"doc_id": np.full(len(s), doc[a], np.int64), "start": s, "end": e}))
-    return pd.concat(out) if out else pd.DataFrame({"doc_id": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "end": np.zeros(0, np.int64)})
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + MATCH)]) if len(doc) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(doc)]])[: len(first)] - 1
+    return pd.DataFrame({"doc_id": doc[first].astype(np.int64), "start": start[first].astype(np.int64), "end": (start[last] + MATCH).astype(np.int64)})
 
 
 SPAN = "doc_id long, start long, end long"
