@@ -207,21 +207,25 @@ def repeated_spans(docs: DataFrame, work: Workspace, task_runs: int = TASK_RUNS)
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        size = 0
+        size, last = 0, None
 
         def done(parts: list[pd.DataFrame]) -> pd.DataFrame:
             p = pd.concat(parts)
             return as_spans(*repeated_windows(p["bytes"].tolist(), p["doc_id"].to_numpy(np.int64), p["start"].to_numpy(np.int64)))
 
         for b in batches:  # in order of buckets: what is held back is the bucket that may go on
-            edges = np.flatnonzero(np.diff(b["bucket"].to_numpy(), prepend=b["bucket"].iloc[0] - 1 if len(b) else 0))
-            for a, z in zip(edges, [*edges[1:], len(b)], strict=True):
-                part = b.iloc[a:z]
-                if held and size >= TASK_BYTES and held[-1]["bucket"].iloc[-1] != part["bucket"].iloc[0]:
-                    yield done(held)
-                    held, size = [], 0
-                held.append(part)
-                size += int(part["bytes"].str.len().sum())
+            bucket = b["bucket"].to_numpy()
+            before = np.concatenate([[0], np.cumsum(b["bytes"].map(len).to_numpy(np.int64))])
+            edges = np.flatnonzero(np.concatenate([[bucket[0] != last], bucket[1:] != bucket[:-1]])) if len(b) else np.zeros(0, np.int64)
+            at = gone = 0
+            for edge, upto in zip(edges.tolist(), before[edges].tolist(), strict=True):
+                if size + upto - gone >= TASK_BYTES:
+                    yield done([*held, b.iloc[at:edge]])
+                    held, size, at, gone = [], 0, edge, upto
+            if at < len(b):
+                held.append(b.iloc[at:])
+                size += int(before[-1]) - gone
+                last = bucket[-1]
         if held:
             yield done(held)
 
