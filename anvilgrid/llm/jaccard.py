@@ -6,6 +6,8 @@ sets overlap in at least 3/7 of the sum of their sizes (a Jaccard similarity of
 1. Signatures. In one order of all shingles (those found in many documents last, else by digest), the first l shingles that
    linked nodes have in common are among the first n/4 + l of each. With l = n/16 + 1 and a partner of at least 3/4 of
    the size, a node that links to any other shares 3n/64 + 1 of its first shingles; nodes that share fewer drop out.
+   Documents are counted for every shingle whose digest is low enough to come into signatures, so passages that several
+   documents share stay out of these; any list of late shingles gives one order, so the list decides speed alone.
 2. Neighbourhoods. The nodes that share a signature belong to the neighbourhood of that signature's least node. So all nodes
    of a shared signature are together in one neighbourhood, and a node is in few of them, whatever its size.
 3. Stars. Each member is compared with the least node of the neighbourhood that it shares most signatures with; members
@@ -46,6 +48,8 @@ SHINGLE = 5
 TASK_MEMBERS, BLOCK = 2000, 2000
 #: A shingle in so large a share of documents goes last in the order (this decides speed alone).
 FREQUENT = 0.002
+#: So does one in so many rows whose digest is in the lowest part of all; of these the most frequent, LISTED at most.
+COMMON, LOWEST, LISTED = 8, 0.4, 2_000_000
 #: Weighs a binary probe against a step of the heap when the long lists are chosen.
 MU = 0.05
 #: Ids that are broadcast to pick texts; beyond it they are joined by a shuffle.
@@ -117,6 +121,39 @@ def survey(docs: DataFrame, work: Workspace) -> tuple[DataFrame, np.ndarray]:
     return nodes, np.sort(np.array([r.shingle for r in often.collect()], np.int64).astype(U64))
 
 
+def among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted list."""
+    if not len(listed):
+        return np.zeros(len(values), bool)
+    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
+
+
+def common_shingles(docs: DataFrame, frequent: np.ndarray, work: Workspace) -> np.ndarray:
+    """The frequent shingles, and those of low digests that at least COMMON rows hold: the most frequent, up to LISTED."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    top = U64(int(LOWEST * 2**64))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, _, gram, _ in read_sets(batches):
+            low = gram[gram < top]
+            values, n = np.unique(low[~among(low, sent.value)], return_counts=True)
+            yield pd.DataFrame({"shingle": values.astype(np.int64), "n": n})
+
+    counted = keyed(docs).mapInPandas(nonempty(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = work.save(counted.where(F.col("n") >= COMMON), "counted")
+    least, total = COMMON, 0
+    # few rows: one for each count below 1,000, then one for each power of two
+    level = F.when(F.col("n") < 1000, F.col("n")).otherwise(F.pow(2, F.floor(F.log2("n")))).cast("long")
+    for r in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > LISTED:
+            least = r.level + 1 if r.level < 1000 else 2 * r.level
+            break
+    late = counted.where(F.col("n") >= least).select("shingle").toArrow()["shingle"].to_numpy().astype(np.int64).astype(U64)
+    work.drop("counted")
+    return np.sort(np.concatenate([frequent, late]))
+
+
 def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """node, n and signature shingles (array) of each row with a set."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -124,9 +161,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = sent.value
         for _, node, gram, bounds in read_sets(batches):
-            late = np.zeros(len(gram), bool)
-            if len(often):
-                late = often[np.minimum(np.searchsorted(often, gram), len(often) - 1)] == gram
+            late = among(gram, often)
             n = np.diff(bounds)
             owner = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((gram, late, owner))
@@ -230,12 +265,12 @@ def bisect(x: list[int], value: int) -> int:
 
 
 def search_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (center, block, part): links between the block's indexed nodes and the part's members."""
+    """Rows sorted by (center, block, part): links between the block's indexed nodes (role 0 or 2) and the part's members (role 1 or 2)."""
     for g in in_groups(batches, ["center", "block", "part"]):
         sets = [s for _, part in with_sets(g) for s in part]
         roles, names, roots = g["role"].tolist(), g["node"].tolist(), g["root"].tolist()
-        nodes = [n for n, r in zip(names, roles, strict=True) if r == 0]
-        index = Index([s for s, r in zip(sets, roles, strict=True) if r == 0])
+        nodes = [n for n, r in zip(names, roles, strict=True) if r != 1]
+        index = Index([s for s, r in zip(sets, roles, strict=True) if r != 1])
         of, root = dict(zip(names, roots, strict=True)), {}
 
         def find(x, root=root):
@@ -294,9 +329,11 @@ def find_links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, work: Wo
     wide = largest.join(pairs.withColumn("seen", F.lit(True)), "center", "left").where("all > 2 or seen is null")
     wide = wide.select("center", "largest", F.ceil((F.col("all") - F.col("size")) / block).cast("int").alias("blocks"), F.ceil(F.col("all") / block).cast("int").alias("parts"))
     todo = work.save(placed.join(wide, "center"), "open")
+    small, todo = todo.where("parts = 1"), todo.where("parts > 1")
+    once = small.select("center", F.lit(0).alias("block"), F.lit(0).alias("part"), F.when(F.col("root") != F.col("largest"), 2).otherwise(1).alias("role"), "node", "root")
     indexed = todo.where("root != largest").select("center", F.pmod(F.hash("node"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "node", "root")
     asking = todo.select("center", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash("node"), "parts").alias("part"), F.lit(1).alias("role"), "node", "root")
-    found = indexed.unionByName(asking).join(texts, "node").repartition(parts, "center", "block", "part").sortWithinPartitions("center", "block", "part", "role", "node").mapInPandas(nonempty(search_blocks), "a long, b long")
+    found = once.unionByName(indexed).unionByName(asking).join(texts, "node").repartition(parts, "center", "block", "part").sortWithinPartitions("center", "block", "part", "role", "node").mapInPandas(nonempty(search_blocks), "a long, b long")
     return work.save(star.unionByName(found), "links")
 
 
@@ -304,7 +341,7 @@ def join_similar(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     work = Workspace(docs.sparkSession, "jaccard")
     nodes, frequent = survey(docs, work)
-    links = find_links(docs, nodes, frequent, work, block)
+    links = find_links(docs, nodes, common_shingles(docs, frequent, work), work, block)
     roots = components(links, work)
     rooted = work.save(nodes.join(roots, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root")), "rooted")
     for name in ("survey", "members", "asked", "texts", "main", "star", "placed", "open"):
