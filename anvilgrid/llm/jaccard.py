@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -57,6 +57,11 @@ BROADCAST_IDS = 1_000_000
 IS_WORD = not_bytes((9, 13), (32, 32))
 
 
+def stable_order(key: np.ndarray, below: int) -> np.ndarray:
+    """Stable order of small integers; those of 16 bits are sorted by radix."""
+    return np.argsort(key.astype(np.uint16 if below <= 1 << 16 else np.int64), kind="stable")
+
+
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct digests of all texts one after another, bounds of each text's)."""
     w = Words(texts, IS_WORD, LOWER)
@@ -76,7 +81,8 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         docs.append(np.flatnonzero(n == k))
         grams.append(mix(g + U64(k)))
     doc, gram = np.concatenate(docs), np.concatenate(grams)
-    order = np.lexsort((gram, doc))
+    order = np.argsort(gram)
+    order = order[stable_order(doc[order], len(texts))]
     doc, gram = doc[order], gram[order]
     new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, bool)
     doc, gram = doc[new], gram[new]
@@ -164,7 +170,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             late = among(gram, often)
             n = np.diff(bounds)
             owner = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((gram, late, owner))
+            order = stable_order(2 * owner + late, 2 * len(n))  # digests ascend already
             ranked = gram[order].astype(np.int64)
             some = n > 0
             ends = bounds[:-1] + n // 4 + n // 16 + 1
@@ -232,8 +238,8 @@ class Index:
             for x in s.tolist():
                 self.lists.setdefault(x, []).append(i)
 
-    def search(self, query: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(index of a node, overlap) of the nodes that link to the query."""
+    def search(self, query: np.ndarray, skip: Callable[[int], bool] = lambda node: False) -> Iterator[tuple[int, int]]:
+        """(index of a node, overlap) of the nodes that link to the query, without those to skip."""
         n = len(query)
         t = -(-3 * n // 4)
         get = self.lists.get
@@ -246,7 +252,7 @@ class Index:
         for node, named in groupby(heapq.merge(*short)):
             count = sum(1 for _ in named)
             m = self.sizes[node]
-            if count < t - aside or 4 * m < 3 * n or 4 * n < 3 * m:
+            if count < t - aside or 4 * m < 3 * n or 4 * n < 3 * m or skip(node):
                 continue
             need = -(-3 * (n + m) // 7)
             for i, x in enumerate(long):
@@ -264,27 +270,69 @@ def bisect(x: list[int], value: int) -> int:
     return bisect_left(x, value)
 
 
+class Components:
+    """Components of the nodes that one task compares."""
+
+    def __init__(self, known: dict[int, int]):
+        self.known, self.above = known, {}
+
+    def find(self, node: int) -> int:
+        x, above = self.known[node], self.above
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        self.above[a] = b
+
+
+class OpenIndex:
+    """An index of nodes for queries that ask only for nodes of other components than their own.
+
+    Once half of the indexed nodes are in one component, its queries search an index of the other nodes alone. So the
+    members of a group of near copies, found one after another, soon have nothing left to search.
+    """
+
+    def __init__(self, nodes: list[int], sets: list[np.ndarray], parts: Components):
+        self.parts, self.sets = parts, dict(zip(nodes, sets, strict=True))
+        self.all = self.rest = (nodes, Index(sets))
+        self.main: int | None = None
+        self.count = Counter(map(parts.find, nodes))
+        for root in list(self.count):
+            self.narrow(root)
+
+    def narrow(self, root: int) -> None:
+        find, nodes = self.parts.find, self.rest[0]
+        own = self.main is None or self.above_main() == root
+        if own and nodes and 2 * self.count[root] >= len(nodes):
+            left = [x for x in nodes if find(x) != root]
+            self.main = next(x for x in nodes if find(x) == root)
+            self.rest = left, Index([self.sets[x] for x in left])
+            self.count = Counter(map(find, left))
+
+    def above_main(self) -> int | None:
+        return None if self.main is None else self.parts.find(self.main)
+
+    def links(self, node: int, s: np.ndarray) -> Iterator[tuple[int, int]]:
+        """New links of a node, which join its component with others."""
+        find = self.parts.find
+        nodes, index = self.rest if find(node) == self.above_main() else self.all
+        for i, _ in index.search(s, lambda i: find(nodes[i]) == find(node)):
+            a, b = find(node), find(nodes[i])
+            self.parts.join(a, b)
+            self.count[b] += self.count.pop(a, 0)
+            self.narrow(b)
+            yield node, nodes[i]
+
+
 def search_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by (center, block, part): links between the block's indexed nodes (role 0 or 2) and the part's members (role 1 or 2)."""
     for g in in_groups(batches, ["center", "block", "part"]):
         sets = [s for _, part in with_sets(g) for s in part]
-        roles, names, roots = g["role"].tolist(), g["node"].tolist(), g["root"].tolist()
-        nodes = [n for n, r in zip(names, roles, strict=True) if r != 1]
-        index = Index([s for s, r in zip(sets, roles, strict=True) if r != 1])
-        of, root = dict(zip(names, roots, strict=True)), {}
-
-        def find(x, root=root):
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        out = []
-        for node, s, role in zip(names, sets, roles, strict=True):
-            for i, _ in index.search(s) if role else ():
-                a, b = find(of[node]), find(of[nodes[i]])
-                if a != b:
-                    root[a] = b
-                    out.append((node, nodes[i]))
+        roles, names = g["role"].tolist(), g["node"].tolist()
+        held = [i for i, r in enumerate(roles) if r != 1]
+        index = OpenIndex([names[i] for i in held], [sets[i] for i in held], Components(dict(zip(names, g["root"].tolist(), strict=True))))
+        out = [link for node, s, role in zip(names, sets, roles, strict=True) if role for link in index.links(node, s)]
         yield pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
 
 

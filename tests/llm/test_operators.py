@@ -143,6 +143,34 @@ def test_divide_skip():
         assert dict(index.search(s)) == want
 
 
+def test_open_index_connects_what_similarity_connects():
+    rng = np.random.default_rng(2)
+    bases = [rng.integers(0, 2**40, 120) for _ in range(4)]
+    sets = [np.unique(np.where(rng.random(120) < rng.choice([0.02, 0.1, 0.3]), rng.integers(0, 2**40, 120), bases[k])) for k in rng.choice(4, 150, p=[0.7, 0.1, 0.1, 0.1])]
+    nodes = [int(x) for x in rng.permutation(10**6)[:150]]
+    least = dict(zip(nodes, nodes, strict=True))
+    for _ in nodes:
+        for a, s in zip(nodes, sets, strict=True):
+            for b, t in zip(nodes, sets, strict=True):
+                if least[a] != least[b] and jaccard.enough(len(np.intersect1d(s, t)), len(s), len(t)):
+                    least[a] = least[b] = min(least[a], least[b])
+        if all(least[a] == least[b] for a, s in zip(nodes, sets, strict=True) for b, t in zip(nodes, sets, strict=True) if least[a] != least[b] and jaccard.enough(len(np.intersect1d(s, t)), len(s), len(t))):
+            break
+    for indexed in (150, 100):
+        parts = jaccard.Components(dict(zip(nodes, nodes, strict=True)))
+        index = jaccard.OpenIndex(nodes[:indexed], sets[:indexed], parts)
+        links = [x for n, s in zip(nodes, sets, strict=True) for x in index.links(n, s)]
+        got = {}
+        for n in nodes:
+            got.setdefault(parts.find(n), set()).add(n)
+        if indexed == 150:
+            want = {}
+            for n in nodes:
+                want.setdefault(least[n], set()).add(n)
+            assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+        assert len(links) == len(nodes) - len(got)
+
+
 def test_decontaminate(docs, none, spark):
     item = PROSE[2].split()[5:25]
     bench = spark.createDataFrame([(1, " ".join(item)), (2, "One, two!"), (None, PROSE[4][:200]), (3, None), (4, "")], "item_id long, text string")
