@@ -229,19 +229,24 @@ def compare_with_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
 
 
 class Index:
-    """Inverted lists of some nodes' sets, and T-occurrence search in them."""
+    """Inverted lists of some nodes' sets, and T-occurrence search in them.
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = [len(s) for s in sets]
+    Sets may come without the shingles that no other node has; sizes are those of the whole sets.
+    """
+
+    def __init__(self, sets: list[np.ndarray], sizes: list[int] | None = None):
+        self.sizes = [len(s) for s in sets] if sizes is None else sizes
         self.lists: dict[int, list[int]] = {}
         for i, s in enumerate(sets):
             for x in s.tolist():
                 self.lists.setdefault(x, []).append(i)
 
-    def search(self, query: np.ndarray, skip: Callable[[int], bool] = lambda node: False) -> Iterator[tuple[int, int]]:
+    def search(self, query: np.ndarray, skip: Callable[[int], bool] = lambda node: False, size: int | None = None) -> Iterator[tuple[int, int]]:
         """(index of a node, overlap) of the nodes that link to the query, without those to skip."""
-        n = len(query)
+        n = len(query) if size is None else size
         t = -(-3 * n // 4)
+        if len(query) < t:
+            return
         get = self.lists.get
         found = sorted((x for q in query.tolist() if (x := get(q))), key=len)
         if len(found) < t:
@@ -293,31 +298,34 @@ class OpenIndex:
     members of a group of near copies, found one after another, soon have nothing left to search.
     """
 
-    def __init__(self, nodes: list[int], sets: list[np.ndarray], parts: Components):
-        self.parts, self.sets = parts, dict(zip(nodes, sets, strict=True))
-        self.all = self.rest = (nodes, Index(sets))
+    def __init__(self, nodes: list[int], sets: list[np.ndarray], sizes: list[int], parts: Components):
+        self.parts, self.sets = parts, dict(zip(nodes, zip(sets, sizes, strict=True), strict=True))
+        self.all = self.rest = self.indexed(nodes)
         self.main: int | None = None
         self.count = Counter(map(parts.find, nodes))
         for root in list(self.count):
             self.narrow(root)
 
+    def indexed(self, nodes: list[int]) -> tuple[list[int], Index]:
+        return nodes, Index([self.sets[x][0] for x in nodes], [self.sets[x][1] for x in nodes])
+
     def narrow(self, root: int) -> None:
         find, nodes = self.parts.find, self.rest[0]
         own = self.main is None or self.above_main() == root
         if own and nodes and 2 * self.count[root] >= len(nodes):
             left = [x for x in nodes if find(x) != root]
             self.main = next(x for x in nodes if find(x) == root)
-            self.rest = left, Index([self.sets[x] for x in left])
+            self.rest = self.indexed(left)
             self.count = Counter(map(find, left))
 
     def above_main(self) -> int | None:
         return None if self.main is None else self.parts.find(self.main)
 
-    def links(self, node: int, s: np.ndarray) -> Iterator[tuple[int, int]]:
+    def links(self, node: int, s: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
         """New links of a node, which join its component with others."""
         find = self.parts.find
         nodes, index = self.rest if find(node) == self.above_main() else self.all
-        for i, _ in index.search(s, lambda i: find(nodes[i]) == find(node)):
+        for i, _ in index.search(s, lambda i: find(nodes[i]) == find(node), size):
             a, b = find(node), find(nodes[i])
             self.parts.join(a, b)
             self.count[b] += self.count.pop(a, 0)
@@ -325,14 +333,26 @@ class OpenIndex:
             yield node, nodes[i]
 
 
+def without_own(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sets without the shingles that only one of them has."""
+    flat = np.concatenate(sets)
+    order = np.argsort(flat)
+    same = np.diff(flat[order]) == 0
+    shared = np.zeros(len(flat), bool)
+    shared[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    bounds = np.cumsum([0, *map(len, sets)])
+    return [flat[a:z][shared[a:z]] for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def search_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by (center, block, part): links between the block's indexed nodes (role 0 or 2) and the part's members (role 1 or 2)."""
     for g in in_groups(batches, ["center", "block", "part"]):
         sets = [s for _, part in with_sets(g) for s in part]
         roles, names = g["role"].tolist(), g["node"].tolist()
         held = [i for i, r in enumerate(roles) if r != 1]
-        index = OpenIndex([names[i] for i in held], [sets[i] for i in held], Components(dict(zip(names, g["root"].tolist(), strict=True))))
-        out = [link for node, s, role in zip(names, sets, roles, strict=True) if role for link in index.links(node, s)]
+        sizes, sets = list(map(len, sets)), without_own(sets)
+        index = OpenIndex([names[i] for i in held], [sets[i] for i in held], [sizes[i] for i in held], Components(dict(zip(names, g["root"].tolist(), strict=True))))
+        out = [link for node, s, size, role in zip(names, sets, sizes, roles, strict=True) if role for link in index.links(node, s, size)]
         yield pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
 
 

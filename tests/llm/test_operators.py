@@ -156,10 +156,11 @@ def test_open_index_connects_what_similarity_connects():
                     least[a] = least[b] = min(least[a], least[b])
         if all(least[a] == least[b] for a, s in zip(nodes, sets, strict=True) for b, t in zip(nodes, sets, strict=True) if least[a] != least[b] and jaccard.enough(len(np.intersect1d(s, t)), len(s), len(t))):
             break
+    sizes, trimmed = [len(s) for s in sets], jaccard.without_own(sets)
     for indexed in (150, 100):
         parts = jaccard.Components(dict(zip(nodes, nodes, strict=True)))
-        index = jaccard.OpenIndex(nodes[:indexed], sets[:indexed], parts)
-        links = [x for n, s in zip(nodes, sets, strict=True) for x in index.links(n, s)]
+        index = jaccard.OpenIndex(nodes[:indexed], trimmed[:indexed], sizes[:indexed], parts)
+        links = [x for n, s, size in zip(nodes, trimmed, sizes, strict=True) for x in index.links(n, s, size)]
         got = {}
         for n in nodes:
             got.setdefault(parts.find(n), set()).add(n)
