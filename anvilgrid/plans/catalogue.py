@@ -17,6 +17,7 @@ from anvilgrid.operators import citations as C
 from anvilgrid.operators import retrieval as R
 from anvilgrid.operators import runs as E
 from anvilgrid.operators import vocabulary as W
+from anvilgrid.session import Workspace
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -376,6 +377,15 @@ def citation_gain(spark, d):
     return rounded(C.gain_select(gain_candidates(spark, d)), gain=6)
 
 
+@query
+def citation_trail(spark, d):
+    work = Workspace(spark, "citation_trail")  # written once each, as the trails read them many times
+    s, g = work.save(seeds(spark, d), "seeds"), work.save(C.resolve(*cited(spark, d)), "resolved")
+    trails = [("semantic", C.ranked_trail(s, g, by_product(spark, d))), ("gain", C.gain_trail(s, g, gain_candidates(spark, d)))]
+    each = [t.groupBy("type", "status").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("strategy"), "type", "status", "n") for name, t in trails]
+    return each[0].unionByName(each[1])
+
+
 @query
 def citation_gain_first_pick(spark, d):
     g = gain_candidates(spark, d).withColumn("gains", V.gain(F.col("target"), F.col("coverage")))
