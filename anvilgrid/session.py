@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Rows of an Arrow batch where the session keeps Spark's own number: bounds what a Python worker holds at once.
+BATCH_ROWS, SPARK_BATCH_ROWS = 2000, 10_000
 
 
 def get_session(app: str = "anvilgrid", master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -32,7 +34,11 @@ def get_session(app: str = "anvilgrid", master: str = "local[*]", shuffle_partit
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed but its folder is visible to them."""
+    """Let Python workers import this package where it is not installed but its folder is visible to them, and read small
+    batches unless the session sets their size."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) == SPARK_BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in have:
@@ -40,25 +46,36 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where it is unset (tests) an own one is set."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session (tests) gets an own one where it is unset."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = f"file://{tempfile.mkdtemp(prefix='anvilgrid-')}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
 class Workspace:
-    """Written tables of one operator call. A table is read back, so a lost executor costs a re-read, not a re-run."""
+    """Written tables of one operator call. A table is read back, so a lost executor costs a re-read, not a re-run. Results
+    are read from it when they are asked for, so it goes with the session."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         ship(spark)
+        fs, path = self.fs()
+        fs.mkdirs(path(self.path))
+        fs.deleteOnExit(path(self.path))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()  # with it goes what finished stages have shuffled
+        """Writes a table; what that shuffled goes at once, as the table takes its place."""
+        clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(clean, None)
+        self.spark.conf.set(clean, "true")
+        try:
+            df.write.parquet(f"{self.path}/{name}")
+        finally:
+            self.spark.conf.unset(clean) if before is None else self.spark.conf.set(clean, before)
         return self.load(name, df.schema)
 
     def load(self, name: str, schema) -> DataFrame:

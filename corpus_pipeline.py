@@ -36,7 +36,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, with digests of ids and decoded text."""
-    return bpe.encode_documents(docs, bpe.default_vocabulary()).drop("decoded")
+    return bpe.encode_documents(docs, bpe.default_vocabulary(), decoded=False)
 
 
 STAGES = [
