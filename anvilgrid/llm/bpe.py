@@ -1,6 +1,6 @@
 """BPE encoding and decoding through a minimal acyclic transducer of frequent words.
 
-Frequent words (counted over the whole corpus, and the vocabulary's own words) are encoded once and compiled into an
+Frequent words (counted over all texts, and the vocabulary's own words) are encoded once and compiled into an
 acyclic automaton whose equal suffixes are shared. Each arc carries a number; the sum along a word's path is the
 word's place in a table of token ids, so the automaton is a transducer from bytes to ids. The file is written to the
 shared folder, fetched by each executor and memory-mapped by its Python workers. Words outside it are merged exactly
@@ -17,26 +17,33 @@ import heapq
 import json
 import mmap
 import os
+import re
 import struct
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anvilgrid.llm.common import doc_view, documents, nonempty
+from anvilgrid.llm.common import doc_view, documents, in_steps, nonempty
 from anvilgrid.session import Workspace
 
 #: Splits text before merging (fixed by the vocabulary's format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Letters, numbers and blanks of the first 256 characters, as that pattern's classes have them.
+LATIN_LETTERS, LATIN_NUMBERS, LATIN_BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r\x1c-\x20\x85\xa0"
 #: Words of the corpus that the lexicon takes at most, and the most a task reports.
-LEXICON_WORDS, TASK_WORDS = 50_000, 20_000
-#: Words that a worker remembers in each of two generations, and the longest word that it remembers.
-REMEMBERED, REMEMBERED_BYTES = 250_000, 64
-#: Bytes of a word up to which its merges are found by scanning.
-SHORT = 64
+LEXICON_WORDS, TASK_WORDS = 100_000, 40_000
+#: Characters of words and their ids that a worker remembers in each of two generations (with what Python adds, some 20 MB),
+#: and the longest word that it remembers.
+REMEMBERED, OVERHEAD, REMEMBERED_BYTES = 20 << 20, 190, 64
+#: What may stand around a counted word.
+AROUND = ".,;:!?()[]{}\"'<>|*_-/\\\r\n\t"
+#: Bytes of a word up to which it is merged side by side with others, and words of one such block.
+SHORT, ROWS = 64, 8192
 
 
 def byte_letters() -> dict[str, int]:
@@ -65,25 +72,73 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes |= {v: k.encode() for k, v in self.special.items()}
         self.one = [self.ids[bytes([b])] for b in range(256)]
+        #: bytes by the written id
+        self.named = {str(i): b for i, b in self.bytes.items()}
+
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted pairs, their ranks, and what the merge of each rank makes; one pair more ends the search."""
+        keys = np.fromiter(self.rank, np.int64, len(self.rank))
+        order = np.argsort(keys)
+        ranks = np.fromiter(self.rank.values(), np.int32, len(self.rank))[order]
+        return np.append(keys[order], 1 << 62), np.append(ranks, len(ranks)).astype(np.int32), np.array(self.made, np.int64)
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merges, lowest rank first and leftmost among equals."""
-        ids = [self.one[b] for b in word]
-        return self.merge_short(ids) if len(ids) <= SHORT else self.merge_long(ids)
-
-    def merge_short(self, ids: list[int]) -> list[int]:
-        """The least of the list of ranks, each time; for few parts that is cheaper than a heap."""
-        rank, made, none = self.rank.get, self.made, len(self.made)
-        ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while ranks and (r := min(ranks)) < none:
-            i = ranks.index(r)
-            ids[i] = m = made[r]
-            del ids[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = rank(ids[i - 1] << 32 | m, none)
-            if i < len(ranks):
-                ranks[i] = rank(m << 32 | ids[i + 1], none)
-        return ids
+        return self.merge_all([word])[0]
+
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """merge() of many words: words of like length are merged side by side, one merge of each in a round."""
+        out: list[list[int]] = [[]] * len(words)
+        by_width: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_width.setdefault(max(8, 1 << (len(w) - 1).bit_length()), []).append(i)
+        for width, those in by_width.items():
+            if width > SHORT:
+                for i in those:
+                    out[i] = self.merge_long([self.one[b] for b in words[i]])
+            else:
+                for k in range(0, len(those), ROWS):
+                    part = those[k : k + ROWS]
+                    for i, ids in zip(part, self.merge_block([words[i] for i in part], width), strict=True):
+                        out[i] = ids
+        return out
+
+    def merge_block(self, words: list[bytes], width: int) -> list[list[int]]:
+        keys, ranks, made = self.pairs
+        none = len(made)
+
+        def rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Of pairs; none where a side is missing (-1) or the pair is never merged."""
+            key = a << 32 | b
+            at = np.searchsorted(keys, key)
+            return np.where((keys[at] == key) & (b >= 0), ranks[at], none)
+
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(-1, width)
+        ids = np.array(self.one, np.int64)[raw]
+        column = np.arange(width)
+        ids[column >= np.array([len(w) for w in words])[:, None]] = -1
+        # the rank of each place with the next one; the last has none
+        table = np.full(ids.shape, none, np.int32)
+        table[:, :-1] = rank(ids[:, :-1], ids[:, 1:])
+        live = np.arange(len(words))
+        while True:
+            j = table[live].argmin(1)
+            least = table[live, j]
+            go = least < none
+            if not go.any():
+                return [[x for x in row if x >= 0] for row in ids.tolist()]
+            live, j, least = live[go], j[go], least[go]
+            # the right part goes: all behind it moves up by one
+            after = np.minimum(column + (column > j[:, None]), width - 1)
+            some, its = np.take_along_axis(ids[live], after, 1), np.take_along_axis(table[live], np.minimum(column + (column >= j[:, None]), width - 1), 1)
+            some[:, -1], its[:, -1] = -1, none
+            row, new = np.arange(len(live)), made[least]
+            some[row, j] = new
+            its[row, j] = np.where(j + 1 < width, rank(new, some[row, np.minimum(j + 1, width - 1)]), none)
+            left = j > 0
+            its[row[left], j[left] - 1] = rank(some[row[left], j[left] - 1], new[left])
+            ids[live], table[live] = some, its
 
     def merge_long(self, ids: list[int]) -> list[int]:
         """A heap over a linked list of parts: O(n log n) for words of any length."""
@@ -182,38 +237,67 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
 
 
 class Lexicon:
-    """A memory-mapped transducer: bytes of a word to its ids, or None."""
+    """A memory-mapped transducer: bytes of words to their ids, or None."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         sizes = struct.unpack_from("<5i", self.map)
-        view, at, tables = memoryview(self.map), 20, []
+        at, tables = 20, []
         for n in sizes:
-            tables.append(view[at : at + 4 * n].cast("i"))
+            tables.append(np.frombuffer(self.map, np.int32, n, at))
             at += 4 * n
-        self.bounds, self.targets, self.adds, self.id_bounds, self.ids = tables
-        self.labels, self.flags = at, at + sizes[1]
-        self.states = sizes[0] - 1
+        bounds, self.targets, self.adds, self.id_bounds, self.ids = tables
+        labels = np.frombuffer(self.map, np.uint8, sizes[1], at)
+        self.final = np.frombuffer(self.map, np.uint8, sizes[0] - 1, at + sizes[1])
+        #: state and label of each arc as one ascending number
+        self.arcs = np.append(np.repeat(np.arange(sizes[0] - 1), np.diff(bounds)) * 256 + labels, 1 << 62)
 
     def get(self, word: bytes) -> list[int] | None:
-        state, place, find, base = 0, 0, self.map.find, self.labels
-        for i in range(len(word)):
-            arc = find(word[i : i + 1], base + self.bounds[state], base + self.bounds[state + 1]) - base
-            if arc < 0:
-                return None
-            place += self.adds[arc]
-            state = self.targets[arc]
-        if not self.map[self.flags + state]:
-            return None
-        return self.ids[self.id_bounds[place] : self.id_bounds[place + 1]].tolist()
+        return self.get_all([word])[0]
+
+    def get_all(self, words: list[bytes]) -> list[list[int] | None]:
+        """All words walk through the automaton together, a byte in each round."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        data, start = np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+        state, place = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        live = np.flatnonzero(lengths > 0)
+        known, i = np.ones(len(words), bool), 0
+        while len(live):
+            key = state[live] * 256 + data[start[live] + i]
+            arc = np.searchsorted(self.arcs, key)
+            there = self.arcs[arc] == key
+            known[live[~there]] = False
+            live, arc = live[there], arc[there]
+            place[live] += self.adds[arc]
+            state[live] = self.targets[arc]
+            i += 1
+            live = live[lengths[live] > i]
+        known &= self.final[state] > 0
+        first, last = (self.id_bounds[np.where(known, place, 0) + k].tolist() for k in (0, 1))
+        ids = self.ids
+        return [ids[a:b].tolist() if k else None for k, a, b in zip(known.tolist(), first, last, strict=True)]
+
+
+def latin_pattern() -> str:
+    """PATTERN with its classes spelled out: the same for texts of the first 256 characters, and cheaper to match."""
+    letter, number, blank = LATIN_LETTERS, LATIN_NUMBERS, LATIN_BLANKS
+    return PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{blank}{letter}{number}]").replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{number}]").replace(r"(?!\S)", f"(?![^{blank}])").replace(r"\s", f"[{blank}]")
 
 
 def splitter(special: dict[str, int]):
     """text -> its words, special tokens whole."""
     import regex
 
-    words = regex.compile(PATTERN).findall
+    latin, other = re.compile(latin_pattern()).findall, regex.compile(PATTERN).findall
+
+    def words(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return other(text)
+        return latin(text)
+
     if not special:
         return words
     cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split
@@ -226,41 +310,54 @@ def splitter(special: dict[str, int]):
     return split
 
 
-class Codec(dict):
+class Codec:
     """Encodes and decodes with a lexicon file; one for each worker.
 
-    As a dict it remembers words: ids as text, and the bytes that the ids decode to (no lists, so that there is little
-    for the garbage collector to walk). Once it is full it becomes the
-    older generation, from which a word that comes again is taken over, so frequent words are not forgotten.
+    It remembers words with their ids as text (no lists, so that there is little for the garbage collector to walk), up to
+    REMEMBERED bytes. Once that is full it becomes the older generation, from which a word that comes again is taken over, so
+    frequent words are not forgotten. All words of a step that are not remembered are looked up together.
     """
 
     def __init__(self, vocabulary: str, lexicon: str):
-        super().__init__()
         self.vocabulary, self.lexicon = vocabulary_of(vocabulary), Lexicon(lexicon)
-        self.split, self.older = splitter(self.vocabulary.special), {}
-
-    def __missing__(self, w: str) -> tuple[str, bytes]:
-        out = self.older.get(w) or self.word(w)
-        if len(w) <= REMEMBERED_BYTES:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[w] = out
+        self.split = splitter(self.vocabulary.special)
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.size = 0
+
+    def learn(self, words: set[str]) -> None:
+        """Remembers the ids of words."""
+        known, older, special = self.known, self.older, self.vocabulary.special
+        new = []
+        for w in words:
+            if w in older:
+                known[w] = older[w]
+            elif w in special:
+                known[w] = str(special[w])
+            else:
+                new.append(w)
+        raw = [w.encode() for w in new]
+        found = self.lexicon.get_all(raw)
+        unseen = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(unseen, self.vocabulary.merge_all([raw[i] for i in unseen]), strict=True):
+            found[i] = ids
+        known.update(zip(new, [",".join(map(str, ids)) for ids in found], strict=True))
+        self.size += sum([len(known[w]) + len(w) + OVERHEAD for w in words])
+
+    def encode(self, texts: list[str]) -> list[str]:
+        """The ids of each text, joined by commas."""
+        split = [*map(self.split, texts)]
+        self.learn(set().union(*split).difference(self.known))
+        get = self.known.__getitem__
+        out = [",".join([*map(get, words)]) for words in split]
+        if self.size >= REMEMBERED:
+            self.older, self.known, self.size = self.known, {}, 0
         return out
 
-    def word(self, w: str) -> tuple[str, bytes]:
-        v = self.vocabulary
-        if w in v.special:
-            ids = [v.special[w]]
-        else:
-            raw = w.encode()
-            ids = self.lexicon.get(raw)
-            if ids is None:
-                ids = v.merge(raw)
-        return ",".join(map(str, ids)), b"".join([v.bytes[i] for i in ids])
-
-    def encode(self, text: str) -> list[tuple[str, bytes]]:
-        return [*map(self.__getitem__, self.split(text))]
+    def decoded(self, listed: str) -> str:
+        """The text of ids as encode() gives them."""
+        named = self.vocabulary.named
+        return b"".join([*map(named.__getitem__, listed.split(","))]).decode("utf-8", "replace") if listed else ""
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.vocabulary.bytes[i] for i in ids]).decode("utf-8", "replace")
@@ -279,54 +376,58 @@ def codec(vocabulary: str, lexicon: str) -> Codec:
     return _CODECS[key]
 
 
-def frequent_words(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS) -> list[str]:
-    """The corpus's most frequent words; each task counts all of its texts and reports its own most frequent ones."""
+def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> list[str]:
+    """The corpus's most frequent words: what stands between two blanks, with the blank and without punctuation around it.
+
+    Each task counts all of its texts and reports its own most frequent words (TASK_WORDS), whose counts are summed. So the
+    order of rare words is not exact; the lexicon decides which way a word takes and no result.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, seen = splitter(vocabulary_of(vocabulary).special), Counter()
+        seen: Counter[str] = Counter()
         for b in batches:
             for t in b["text"]:
-                seen.update(split(t))
-            if len(seen) > 1_000_000:  # bounded memory: what is rare in a million distinct words goes
-                seen = Counter(dict(seen.most_common(TASK_WORDS * 5)))
+                seen.update(t.split(" "))
+            if len(seen) > 10 * TASK_WORDS:  # bounded memory: of so many distinct words the rare ones go
+                seen = Counter(dict(seen.most_common(5 * TASK_WORDS)))
         top = seen.most_common(TASK_WORDS)
-        yield pd.DataFrame({"word": [w for w, _ in top], "n": [n for _, n in top]})
+        yield pd.DataFrame({"word": [w.strip(AROUND) for w, _ in top], "n": [n for _, n in top]})
 
-    found = doc_view(docs).select("text").mapInPandas(nonempty(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in found.orderBy(F.desc("n"), "word").limit(words).collect()]
+    found = doc_view(docs).select("text").mapInPandas(nonempty(count), "word string, n long").where(F.length("word").between(1, REMEMBERED_BYTES)).groupBy("word").agg(F.sum("n").alias("n"))
+    return [" " + r.word for r in found.orderBy(F.desc("n"), "word").limit(words).collect()]
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, work: Workspace, words: int = LEXICON_WORDS) -> str:
     """Compiles the lexicon and gives it to all executors; returns its file name."""
     v = vocabulary_of(vocabulary)
-    raw = {w.encode() for w in frequent_words(docs, vocabulary, words) if w not in v.special}
-    raw |= {b for b, i in v.ids.items() if len(b) > 1 and b.strip().isalpha() and v.merge(b) == [i]}
+    raw = {w.encode() for w in frequent_words(docs, words) if w not in v.special}
+    own = [b for b in v.ids if len(b) > 1 and b.strip().isalpha()]
+    raw |= {b for b, ids in zip(own, v.merge_all(own), strict=True) if ids == [v.ids[b]]}
     name = f"{work.path.rsplit('/', 1)[-1]}.lexicon"
-    image = compile_lexicon({w: v.merge(w) for w in raw if w} or {b" ": v.merge(b" ")})
+    raw = sorted(w for w in raw if w) or [b" "]
+    image = compile_lexicon(dict(zip(raw, v.merge_all(raw), strict=True)))
     docs.sparkSession.sparkContext.addFile(work.put(name, image))
     return name
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS, ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS, ids: bool = True, decoded: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array<int>) and decoded (string)."""
     spark = docs.sparkSession
     lexicon = build_lexicon(docs, vocabulary, Workspace(spark, "bpe"), words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(vocabulary, lexicon)
+        digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
         for b in batches:
-            out = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                parts = c.encode(text)
-                decoded = b"".join([p[1] for p in parts]).decode("utf-8", "replace")
-                listed = ",".join([p[0] for p in parts])
-                row = [doc_id, listed.count(",") + 1 if parts else 0, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-                out.append([*row, [int(i) for i in listed.split(",") if i], decoded] if ids else row)
-            frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if ids else [])])
-            yield frame.astype({"doc_id": "Int64"})
+            for part in in_steps(b):
+                listed = c.encode(part["text"].tolist())
+                texts = [*map(c.decoded, listed)]
+                out = {"doc_id": part["doc_id"].astype("Int64").array, "n_tokens": [x.count(",") + 1 if x else 0 for x in listed], "ids_sha256": [*map(digest, listed)], "decoded_sha256": [*map(digest, texts)]}
+                out |= {"ids": [np.fromstring(x, np.int32, sep=",") if x else np.zeros(0, np.int32) for x in listed]} if ids else {}
+                yield pd.DataFrame(out | ({"decoded": texts} if decoded else {}))
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return doc_view(docs).mapInPandas(nonempty(run), schema + (", ids array<int>, decoded string" if ids else ""))
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
+    return doc_view(docs).mapInPandas(nonempty(run), schema)
 
 
 def default_vocabulary() -> str:
@@ -336,4 +437,4 @@ def default_vocabulary() -> str:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(documents(spark, sf_dir), default_vocabulary(), ids=False)
+    return encode_documents(documents(spark, sf_dir), default_vocabulary(), ids=False, decoded=False)

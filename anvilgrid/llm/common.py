@@ -6,14 +6,19 @@ rows that repeat another row are worked on and returned like any row.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of text that one vectorised step works on; longer single texts are a step of their own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -82,6 +87,18 @@ def steps(texts: list[bytes]):
         yield first, len(texts)
 
 
+def in_steps(b: pd.DataFrame):
+    """Parts of a batch of about STEP_BYTES of text, by characters."""
+    first, size = 0, 0
+    for i, t in enumerate(b["text"]):
+        size += len(t or "") + 1
+        if size > STEP_BYTES:
+            yield b.iloc[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(b):
+        yield b.iloc[first:]
+
+
 class Words:
     """The words of several texts (bytes), found and hashed without a Python loop over words.
 
@@ -115,10 +132,20 @@ def not_bytes(*ranges: tuple[int, int]) -> np.ndarray:
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system: a worker lives on, and other operators' tasks run beside it."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only this C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def nonempty(f):
-    """f without the empty frames that it yields: Arrow cannot tell the types of their columns."""
+    """f without the empty frames that it yields: Arrow cannot tell the types of their columns. Memory goes back at the end."""
 
     def run(batches):
-        return (frame for frame in f(batches) if len(frame))
+        try:
+            yield from (frame for frame in f(batches) if len(frame))
+        finally:
+            give_back()
 
     return run
