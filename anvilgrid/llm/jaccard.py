@@ -44,8 +44,9 @@ from anvilgrid.llm.spans import NO_ID, keyed
 from anvilgrid.session import Workspace
 
 SHINGLE = 5
-#: Members of a neighbourhood that one task compares, and nodes of one index.
-TASK_MEMBERS, BLOCK = 2000, 2000
+#: Members of a neighbourhood that one task compares, and nodes of one index; of long texts fewer, so that their shingles
+#: are about BLOCK_SHINGLES at most.
+TASK_MEMBERS, BLOCK, BLOCK_SHINGLES = 2000, 2000, 500_000
 #: A shingle in so large a share of documents goes last in the order (this decides speed alone).
 FREQUENT = 0.002
 #: So does one in so many rows whose digest is in the lowest part of all; of these the most frequent, LISTED at most.
@@ -367,10 +368,10 @@ def find_links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, work: Wo
     work.drop("signatures")
     work.drop("shared")
     able = common.groupBy("node", "n").agg(F.count(F.lit(1)).alias("shared")).where("shared >= floor(3 * n / 64) + 1").select("node")
-    common = work.save(common.join(able, "node", "left_semi").select("signature", "node"), "able")
+    common = work.save(common.join(able, "node", "left_semi").select("signature", "node", "n"), "able")
     work.drop("common")
     centers = common.groupBy("signature").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center != other").select("signature", "center")
-    members = work.save(common.join(centers, "signature").groupBy("center", "node").agg(F.count(F.lit(1)).alias("shared")), "members")
+    members = work.save(common.join(centers, "signature").groupBy("center", "node").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n")), "members")
     work.drop("able")
     # a text of each node that has neighbours
     asked = nodes.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -389,14 +390,16 @@ def find_links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, work: Wo
     star = work.save(star, "star")
     roots = components(star, work.inner("star_roots"))
     # neighbourhoods of several components: blocks of the members outside the largest one against parts of all members
-    placed = work.save(members.join(roots, "node", "left").select("center", "node", F.coalesce("root", "node").alias("root")), "placed")
-    largest = placed.groupBy("center", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("center").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.sum("size").alias("all"), F.max("size").alias("size"))
-    largest = largest.where("size < all")
+    placed = work.save(members.join(roots, "node", "left").select("center", "node", "n", F.coalesce("root", "node").alias("root")), "placed")
+    by_root = placed.groupBy("center", "root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    largest = by_root.groupBy("center").agg(F.max(F.struct("size", "root", "n")).alias("top"), F.sum("size").alias("all"), F.sum("n").alias("all_n"))
+    largest = largest.select("center", F.col("top.root").alias("largest"), F.col("top.size").alias("size"), F.col("top.n").alias("n"), "all", "all_n").where("size < all")
     # two members that the star compared need no second look
     pairs = members.join(main, ["node", "center"], "left_semi").select("center").distinct()
     wide = largest.join(pairs.withColumn("seen", F.lit(True)), "center", "left").where("all > 2 or seen is null")
-    wide = wide.select("center", "largest", F.ceil((F.col("all") - F.col("size")) / block).cast("int").alias("blocks"), F.ceil(F.col("all") / block).cast("int").alias("parts"))
-    todo = work.save(placed.join(wide, "center"), "open")
+    in_blocks = lambda nodes, grams: F.ceil(F.greatest(nodes / block, grams / BLOCK_SHINGLES)).cast("int")
+    wide = wide.select("center", "largest", in_blocks(F.col("all") - F.col("size"), F.col("all_n") - F.col("n")).alias("blocks"), in_blocks(F.col("all"), F.col("all_n")).alias("parts"))
+    todo = work.save(placed.drop("n").join(wide, "center"), "open")
     small, todo = todo.where("parts = 1"), todo.where("parts > 1")
     once = small.select("center", F.lit(0).alias("block"), F.lit(0).alias("part"), F.when(F.col("root") != F.col("largest"), 2).otherwise(1).alias("role"), "node", "root")
     indexed = todo.where("root != largest").select("center", F.pmod(F.hash("node"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "node", "root")
