@@ -6,18 +6,20 @@ long enough to hold a window; nothing that could match is left out. Over these r
 transform and its wavelet matrix are built. All windows of the benchmark are searched backwards at once, their
 occurrences are located by walking to sampled suffix positions, and the covered words are merged into spans.
 
-The benchmark is worked on in blocks of bounded size (BLOCK_WORDS); each block is one pass, and passes are combined
-per document.
+The benchmark is worked on in blocks of bounded size (BLOCK_WORDS), one at a time on the driver and in workers. A benchmark
+of one block is searched in place, without a shuffle. Beyond it rows are numbered in a written table, each block is a pass
+that writes the rows it hits, and these meet their rows by number.
 
 Defined cases: null or empty text has no words, no hits, and is clean; an item without words matches nothing; equal
 windows of several items count for each of them; an empty benchmark or documents table gives no hits or no rows; a
-null item id is not listed, but its windows count.
+null item id is not listed, but its windows count; rows that repeat an id, or have none, are judged each by its own text,
+whatever the benchmark's size.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -25,21 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anvilgrid.llm.common import LOWER, doc_view, documents, steps, nonempty
-from anvilgrid.session import ship
+from anvilgrid.session import Workspace, ship
 
 WINDOW = 13
 #: Words of benchmark items that one pass searches for: bounds what is sent to executors.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 #: One suffix position in so many is kept for locating.
 SAMPLE = 8
 #: Lower-cases A-Z and turns what is no letter, digit or non-ASCII byte into a space.
 WORDS = bytes(LOWER[c] if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def words(text: str) -> list[bytes]:
-    return text.encode().translate(WORDS).split(b" ")
-
-
 def split_words(text: bytes) -> list[bytes]:
     return [w for w in text.translate(WORDS).split(b" ") if w]
 
@@ -131,22 +129,37 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of benchmark items as symbols; items: for each window the items that have it."""
+    """The windows of benchmark items as symbols, in tables by length; for each window the items that have it."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int):
         self.symbol: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in split_words((text or "").encode())]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).update([] if item is None else [str(item)])
+        parts = [np.fromiter((self.symbol.setdefault(w, len(self.symbol) + 1) for w in split_words((text or "").encode())), np.int32) for _, text in items]
+        self.names = [None if item is None else str(item) for item, _ in items]
         self.sigma = len(self.symbol) + 1
-        self.by_length = {n: np.array([p for p in found if len(p) == n], np.int64) for n in {len(p) for p in found}}
-        self.items = {n: [found[tuple(p)] for p in ps.tolist()] for n, ps in self.by_length.items()}
-        pairs = {a * self.sigma + b for p in found for a, b in zip(p, p[1:], strict=False)}
-        self.pairs = np.array(sorted(pairs), np.int64)
+        size = np.array([len(p) for p in parts], np.int64)
+        every = np.concatenate([np.zeros(0, np.int32), *parts])
+        start = np.cumsum(size) - size
+        self.by_length, self.items, pairs = {}, {}, [np.zeros(0, np.int64)]
+        for n in sorted(set(np.minimum(size[size > 0], window).tolist())):
+            those = np.flatnonzero((size == n) | ((size > n) if n == window else False))
+            count = size[those] - n + 1
+            owner = np.repeat(those, count)
+            at = np.repeat(start[those], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            rows = np.ascontiguousarray(every[at[:, None] + np.arange(n)])
+            _, first, which = np.unique(rows.view(np.dtype((np.void, 4 * n))).ravel(), return_index=True, return_inverse=True)
+            # (window, item), each once, by window
+            both = np.unique(which.astype(np.int64) * len(items) + owner)
+            self.by_length[n] = rows[first].astype(np.int64)
+            self.items[n] = (np.searchsorted(both, np.arange(len(first) + 1) * len(items)), (both % max(1, len(items))).astype(np.int32))
+            if n > 1:
+                pairs.append(np.unique(self.by_length[n][:, :-1] * self.sigma + self.by_length[n][:, 1:]))
+        self.pairs = np.unique(np.concatenate(pairs))
         self.shortest = min(self.by_length, default=window)
 
+    def items_of(self, n: int, window: int) -> set[str]:
+        bounds, owners = self.items[n]
+        return {name for i in owners[bounds[window] : bounds[window + 1]].tolist() if (name := self.names[i]) is not None}
+
     def runs(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of the maximal runs whose words and pairs of neighbours all are of the benchmark."""
         known = s > 0
@@ -191,7 +204,7 @@ class Phrases:
                 for w, p, r in zip(which.tolist(), at.tolist(), run.tolist(), strict=True):
                     begin = int(where[r] + p - starts[r])
                     spans[docs[r]].append((begin, begin + n))
-                    items[docs[r]] |= self.items[n][w]
+                    items[docs[r]] |= self.items_of(n, w)
         return counts, [merge_spans(x) for x in spans], items
 
 
@@ -218,40 +231,103 @@ def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[object
         yield block
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, spans (array of word bounds, end exclusive), items (sorted array of item ids as strings)."""
-    spark = docs.sparkSession
+SPANS = "array<struct<start:long,end:long>>"
+
+
+def searched(view: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
+    """view (doc_id, text) and n_words, spans, items; each block of the benchmark is a pass over the rows of the one before.
+
+    Rows stay in place and carry what was found so far, so there is no shuffle, and rows that share an id, or have none,
+    stay apart. The last pass of a block needs that block alone.
+    """
+    spark = view.sparkSession
     ship(spark)
-    schema = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-    view, passes = doc_view(docs), []
+    out = view.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    schema = out.schema
 
-    def search(items: list[tuple[object, str | None]]):
-        sent = spark.sparkContext.broadcast(items)
+    def search(df: DataFrame, block: list[tuple[object, str | None]]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             phrases = Phrases(sent.value, window)
             for b in batches:
                 raw = [t.encode() for t in b["text"]]
+                before = b[["spans", "items"]].to_numpy()
                 for first, last in steps(raw):
                     counts, spans, found = phrases.hits(raw[first:last])
-                    yield pd.DataFrame({"doc_id": b["doc_id"].iloc[first:last].astype("Int64").array, "n_words": counts, "spans": [[{"start": x, "end": y} for x, y in s] for s in spans], "items": [sorted(f) for f in found]})
+                    spans = [merge_spans([*s, *((x["start"], x["end"]) for x in had)]) for s, (had, _) in zip(spans, before[first:last], strict=True)]
+                    items = [sorted({*f, *had}) for f, (_, had) in zip(found, before[first:last], strict=True)]
+                    part = b.iloc[first:last]
+                    yield part.assign(doc_id=part["doc_id"].astype("Int64"), n_words=counts, spans=[[{"start": x, "end": y} for x, y in s] for s in spans], items=items)
+
+        return df.mapInPandas(nonempty(run), schema)
+
+    passes = 0
+    for block in blocks(benchmark, block_words):
+        out, passes = search(out, block), passes + 1
+    return out if passes else search(out, [])
+
+
+SPANS = "array<struct<start:long,end:long>>"
+
+
+def search_pass(rows: DataFrame, block: list[tuple[object, str | None]], window: int, hits_only: bool) -> DataFrame:
+    """key, n_words, spans, items of rows (key, text), for one block of the benchmark."""
+    sent = rows.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        phrases = Phrases(sent.value, window)
+        for b in batches:
+            raw = [t.encode() for t in b["text"]]
+            for first, last in steps(raw):
+                counts, spans, found = phrases.hits(raw[first:last])
+                out = pd.DataFrame({"key": b["key"].iloc[first:last].astype("Int64").array, "n_words": counts, "spans": [[{"start": x, "end": y} for x, y in s] for s in spans], "items": [sorted(f) for f in found]})
+                yield out[[len(s) > 0 for s in spans]] if hits_only else out
+
+    return rows.select("key", "text").mapInPandas(nonempty(run), f"key long, n_words long, spans {SPANS}, items array<string>")
+
+
+def hits_by_key(rows: DataFrame, benchmark: Iterator[list], window: int, work: Workspace) -> DataFrame:
+    """(key, spans, items) of the rows (key, text) that any block hits; spans of several blocks may overlap."""
+    parts = [work.save(search_pass(rows, block, window, True), f"hits{i}") for i, block in enumerate(benchmark)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
 
-        return view.mapInPandas(nonempty(run), schema)
+def numbered(docs: DataFrame, work: Workspace) -> DataFrame:
+    """docs as a struct ``row``, its text and a number of its own in a written table."""
+    return work.save(docs.select(F.struct("*").alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"), F.monotonically_increasing_id().alias("key")), "rows")
 
-    passes = [search(block) for block in blocks(benchmark, block_words)] or [search([])]
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0].withColumn("part", F.lit(0))
-    for i, p in enumerate(passes[1:], 1):
-        every = every.unionByName(p.withColumn("part", F.lit(i)))
-    # one row per block and document meet here; rows that repeat a doc_id are one document of that id
-    together = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+def one_or_more(benchmark: DataFrame, block_words: int) -> tuple[list | None, Iterator[list]]:
+    """The only block, or None, and all blocks."""
+    every = blocks(benchmark, block_words)
+    ahead = list(islice(every, 2))
+    return (None if len(ahead) > 1 else ahead[0] if ahead else []), chain(ahead, every)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, spans (array of word bounds, end exclusive), items (sorted array of item ids as strings) of every row."""
+    ship(docs.sparkSession)
+    only, every = one_or_more(benchmark, block_words)
+    if only is not None:
+        return search_pass(doc_view(docs).withColumnRenamed("doc_id", "key"), only, window, False).withColumnRenamed("key", "doc_id")
+    work = Workspace(docs.sparkSession, "decontaminate")
+    rows = numbered(doc_view(docs), work)
+    words_of = search_pass(rows, [], window, False).select("key", "n_words")
+    joined = rows.select("key", F.col("row.doc_id").alias("doc_id")).join(words_of, "key").join(hits_by_key(rows, every, window, work), "key", "left")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(doc_id=b["doc_id"].astype("Int64"), spans=[[{"start": x, "end": y} for x, y in merge_spans([(s["start"], s["end"]) for s in ss])] for ss in b["spans"]])
+            yield b.assign(doc_id=b["doc_id"].astype("Int64"), spans=[[{"start": x, "end": y} for x, y in merge_spans(as_pairs(ss))] for ss in b["spans"]])
+
+    return joined.select("doc_id", "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).mapInPandas(nonempty(merge), f"doc_id long, n_words long, spans {SPANS}, items array<string>")
 
-    return together.mapInPandas(nonempty(merge), schema)
+
+def as_pairs(spans) -> list[tuple[int, int]]:
+    return [] if spans is None else [(s["start"], s["end"]) for s in spans]
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -277,42 +353,53 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without contaminated documents; the others lose the words of benchmark windows. Needs one block."""
-    ship(docs.sparkSession)
-    every = list(blocks(benchmark, BLOCK_WORDS))
-    sent = docs.sparkSession.sparkContext.broadcast(every)
-    has_length = "n_chars" in docs.columns
+def cleaned(b: pd.DataFrame, spans: list[list[tuple[int, int]]], n_words: list[int]) -> pd.DataFrame:
+    """Rows without the contaminated ones, and without the words of spans; n_chars, if there, is counted anew."""
+    keep, texts = np.ones(len(b), bool), b["text"].tolist()
+    for i, (some, n) in enumerate(zip(spans, n_words, strict=True)):
+        n_hit = sum(y - x for x, y in some)
+        if n_hit:
+            keep[i] = 20 * n_hit < n
+            texts[i] = cut_words(texts[i], some) if keep[i] else texts[i]
+    out = b.assign(text=texts)[keep]
+    return out.assign(n_chars=[None if t is None else len(t) for t in out["text"]]) if "n_chars" in b.columns else out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        phrases = [Phrases(x, window) for x in sent.value]
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs, all columns, without contaminated documents; the others lose the words of benchmark windows."""
+    spark = docs.sparkSession
+    ship(spark)
+    only, every = one_or_more(benchmark, block_words)
+    if only is not None:
+        sent = spark.sparkContext.broadcast(only)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            phrases = Phrases(sent.value, window)
+            for b in batches:
+                raw = [(t or "").encode() for t in b["text"]]
+                for first, last in steps(raw):
+                    counts, spans, _ = phrases.hits(raw[first:last])
+                    yield cleaned(b.iloc[first:last], spans, counts)
+
+        return docs.mapInPandas(nonempty(run), docs.schema)
+    work = Workspace(spark, "decontaminate")
+    rows = numbered(docs, work)
+    mark = "_".join(["spans", *docs.columns])  # no column of docs has this name
+    hits = hits_by_key(rows, every, window, work).select("key", F.col("spans").alias(mark))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            raw = [(t or "").encode() for t in b["text"]]
-            keep, texts = np.ones(len(b), bool), b["text"].tolist()
-            for first, last in steps(raw):
-                found = [p.hits(raw[first:last]) for p in phrases]
-                for i in range(last - first):
-                    spans = merge_spans([s for f in found for s in f[1][i]])
-                    n_hit = sum(y - x for x, y in spans)
-                    if n_hit:
-                        keep[first + i] = 20 * n_hit < found[0][0][i]
-                        texts[first + i] = cut_words(texts[first + i], spans)
-            out = b.assign(text=texts)[keep]
-            if has_length:
-                out = out.assign(n_chars=[None if t is None else len(t) for t in out["text"]])
-            yield out
+            texts = ["" if t is None else t for t in b["text"]]
+            yield cleaned(b.drop(columns=mark), [merge_spans(as_pairs(ss)) for ss in b[mark]], [len(split_words(t.encode())) for t in texts])
 
-    return docs.mapInPandas(nonempty(run), docs.schema)
+    clean = rows.join(hits, "key", "left_anti").select("row.*")
+    return clean.unionByName(rows.join(hits, "key").select("row.*", mark).mapInPandas(nonempty(cut), docs.schema))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(find_contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")))
 
 
-def fingerprint(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(ids).encode()).hexdigest()
-
-
 ORACLE_SQL = r"""
 WITH low AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),

@@ -133,6 +133,21 @@ def test_jaccard(docs, none, block):
         assert kept.columns == docs.columns and kept.count() == len({root[i] for i in order})
 
 
+def test_contamination_is_judged_by_row_whatever_the_blocks(spark):
+    """Rows that share an id, or have none, keep their own judgement and columns."""
+    passage = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, passage, 1), (1, "other words here", 2), (2, "x y " * 200 + passage, 3), (None, passage, 4), (None, "clean text", 5), (None, None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    bench = spark.createDataFrame([("a", passage), ("b", "quite another item"), ("c", None), (None, "clean text")], "item_id string, text string")
+    want = [(-1, 0, 0, 0), (-1, 2, 2, 0), (-1, 20, 20, 1), (1, 3, 0, 0), (1, 20, 20, 1), (2, 420, 20, 1)]
+    for size in (10**6, 1):
+        found = decontaminate.judged(decontaminate.find_contamination(docs, bench, block_words=size)).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, r.n_items) for r in found) == want
+        clean = decontaminate.decontaminate(docs, bench, block_words=size)
+        assert clean.columns == docs.columns
+        assert sorted((r.spans, r.text) for r in clean.collect() if r.text is not None) == [(2, "other words here"), (3, "x y " * 200)] and clean.where("text is null").count() == 1
+
+
 def test_divide_skip():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**40, 200)
@@ -175,7 +190,7 @@ def test_open_index_connects_what_similarity_connects():
 def test_decontaminate(docs, none, spark):
     item = PROSE[2].split()[5:25]
     bench = spark.createDataFrame([(1, " ".join(item)), (2, "One, two!"), (None, PROSE[4][:200]), (3, None), (4, "")], "item_id long, text string")
-    both = [decontaminate.find_contamination(docs, bench), decontaminate.find_contamination(docs, bench, block_words=1).dropDuplicates(["doc_id"])]
+    both = [decontaminate.find_contamination(docs, bench), decontaminate.find_contamination(docs, bench, block_words=1)]
     windows = {}
     for k, t in [(1, " ".join(item)), (2, "one two"), (None, PROSE[4][:200])]:
         w = t.split()
