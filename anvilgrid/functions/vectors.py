@@ -24,7 +24,9 @@ def cosine(q: Column, v: Column) -> Column:
 
 
 def normalised(v: Column, floor: float = 1e-12) -> Column:
-    return F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(floor)))
+    """The norm is a field of its own, so that it is computed once and not for each element."""
+    with_norm = F.array(F.struct(v.alias("v"), F.greatest(norm(v), F.lit(floor)).alias("norm")))
+    return F.transform(with_norm, lambda s: F.transform(s["v"], lambda x: x / s["norm"]))[0]
 
 
 def strictly_normalised(v: Column) -> Column:

@@ -136,8 +136,8 @@ ORACLES["anchor_build"] = f"WITH {VEC}, {anchor_sql('series')} SELECT series, CA
 
 @query
 def hierarchical_topk(spark, d):
-    s = R.hierarchical_scores(vector_queries(spark, d), vectors(spark, d), DIMS)
-    return rounded(R.best(s, K), score=6, series_score=6, document_score=6, chunk_score=6)
+    s = R.hierarchical_topk(vector_queries(spark, d), vectors(spark, d), DIMS, K)
+    return rounded(s, score=6, series_score=6, document_score=6, chunk_score=6)
 
 
 HIER = f"""{VEC}, {anchor_sql("series")}, {anchor_sql("document_key")},
@@ -156,8 +156,8 @@ def dense_side(spark, d):
 @query
 def hierarchical_hybrid(spark, d):
     q, v = dense_side(spark, d)
-    dense = R.best(R.hierarchical_scores(q, v, DIMS), K * R.OVERFETCH)
-    lexical = R.best(R.bm25(questions(spark, d), chunks(spark, d)), K * R.OVERFETCH)
+    dense = R.hierarchical_topk(q, v, DIMS, K * R.OVERFETCH)
+    lexical = R.bm25_topk(questions(spark, d), chunks(spark, d), K * R.OVERFETCH)
     return no_nulls(rounded(R.fuse(dense, lexical, K, (0.3, 0.7)), score=9), "dense_rank", "lexical_rank")
 
 
@@ -175,7 +175,7 @@ dn AS (SELECT query_id, chunk_id, {RANK} FROM h {TOP.format(k=32)}), {bm25_sql()
 @query
 def rrf_fusion(spark, d):
     q, v = dense_side(spark, d)
-    lexical = R.best(R.bm25(questions(spark, d), chunks(spark, d)), K * R.OVERFETCH)
+    lexical = R.bm25_topk(questions(spark, d), chunks(spark, d), K * R.OVERFETCH)
     return no_nulls(rounded(R.fuse(R.dense_topk(q, v, K * R.OVERFETCH), lexical, K, (0.3, 0.7)), score=9), "dense_rank", "lexical_rank")
 
 
@@ -204,24 +204,24 @@ ORACLES["bm25_stats"] = f"WITH t AS (SELECT doc_id, unnest({TOKENS.format('text'
 
 @query
 def bm25_topk(spark, d):
-    return rounded(R.best(R.bm25(questions(spark, d), chunks(spark, d)), K), score=6)
+    return rounded(R.bm25_topk(questions(spark, d), chunks(spark, d), K), score=6)
 
 
 @query
 def bm25_topk_series_filter(spark, d):
     only = chunks(spark, d).where(F.col("series").isin("src1", "src2", "src3")).select("chunk_id")
-    return rounded(R.best(R.bm25(questions(spark, d), chunks(spark, d), only), K), score=6)
+    return rounded(R.bm25_topk(questions(spark, d), chunks(spark, d), K, only), score=6)
 
 
 @query
 def bm25_candidate_set(spark, d):
     only = table(spark, d, "labels").select(F.col("doc_id").alias("chunk_id")).distinct()
-    return rounded(R.best(R.bm25(questions(spark, d), chunks(spark, d), only), K), score=6)
+    return rounded(R.bm25_topk(questions(spark, d), chunks(spark, d), K, only), score=6)
 
 
 @query
 def bm25_two_field(spark, d):
-    return rounded(R.best(R.bm25(questions(spark, d), chunks(spark, d), heading="heading"), K), score=6)
+    return rounded(R.bm25_topk(questions(spark, d), chunks(spark, d), K, heading="heading"), score=6)
 
 
 OUT = f"SELECT query_id, chunk_id, round(score, 6) AS score, {RANK} FROM bm {TOP.format(k=K)}"
@@ -352,8 +352,7 @@ ORACLES["citation_semantic_bfs"] = f"WITH {VEC}, {CITE}, {SEED}, {bfs_sql(PRODUC
 def citation_rrf_bfs(spark, d):
     texts = chunks(spark, d)
     q = vector_queries(spark, d).select("query_id").join(texts, F.col("query_id") == F.col("chunk_id")).select("query_id", "text")
-    lexical = R.bm25(q, texts)
-    return rounded(C.expand(seeds(spark, d), C.resolve(*cited(spark, d)), lambda c: C.rrf_scores(c, by_product(spark, d)(c), lexical)), score=9)
+    return rounded(C.expand(seeds(spark, d), C.resolve(*cited(spark, d)), lambda c: C.rrf_scores(c, by_product(spark, d)(c), R.bm25(q, texts, c))), score=9)
 
 
 @query
