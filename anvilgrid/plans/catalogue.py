@@ -360,37 +360,46 @@ def citation_semantic_bfs_depth2(spark, d):
     return rounded(C.expand(seeds(spark, d), C.resolve(*cited(spark, d)), by_product(spark, d), depth=2), score=6)
 
 
-def gain_candidates(spark, d):
-    """Facets of a question are three fixed anchors; targets are scored against them by cosine."""
-    r = C.resolve(*cited(spark, d)).where("target_id is not null")
+def facet_cover(spark, d):
+    """Facets of a question are three fixed vectors; a chunk covers them by its cosine with each."""
     v = vectors(spark, d).select("chunk_id", V.normalised(F.col("v")).alias("v"))
     facets = v.where("chunk_id in (1, 2, 3)").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "v"))).alias("f")).select(F.col("f.v").alias("f"))
-    cov = v.crossJoin(F.broadcast(facets)).select("chunk_id", F.transform("f", lambda f: V.dot(f, F.col("v"))).alias("cov"))
-    g = seeds(spark, d).withColumnRenamed("chunk_id", "parent_id").join(r, "parent_id").select("query_id", "parent_id", F.col("target_id").alias("chunk_id"), (F.col("pos") * 1_000_000_000_000 + F.col("ref") * 10_000_000_000 + F.col("target_id")).alias("ord"))
-    g = g.join(seeds(spark, d).select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    return g.join(cov.withColumnRenamed("cov", "target"), "chunk_id").join(cov.select(F.col("chunk_id").alias("parent_id"), F.col("cov").alias("coverage")), "parent_id")
+    covers = v.crossJoin(F.broadcast(facets)).select("chunk_id", F.transform("f", lambda f: V.dot(f, F.col("v"))).alias("cover"))
+    return lambda rows: rows.join(covers, "chunk_id")
+
+
+def gain_of(spark, d, **limits):
+    work = Workspace(spark, "citation_gain")
+    return C.gain_expansion(work.save(seeds(spark, d), "seeds"), work.save(C.resolve(*cited(spark, d)), "resolved"), facet_cover(spark, d), **limits)
 
 
 @query
 def citation_gain(spark, d):
-    return rounded(C.gain_select(gain_candidates(spark, d)), gain=6)
+    return rounded(gain_of(spark, d)[0].select("query_id", "parent_id", "chunk_id", "gain", "rank"), gain=6)
+
+
+@query
+def citation_gain_depth2(spark, d):
+    return rounded(gain_of(spark, d, depth=2)[0].select("query_id", "depth", "parent_id", "chunk_id", "gain", "rank"), gain=6)
+
+
+@query
+def citation_selected_sums(spark, d):
+    return C.selected_sums(gain_of(spark, d)[0], "gain").drop("score_sum")
 
 
 @query
 def citation_trail(spark, d):
     work = Workspace(spark, "citation_trail")  # written once each, as the trails read them many times
     s, g = work.save(seeds(spark, d), "seeds"), work.save(C.resolve(*cited(spark, d)), "resolved")
-    trails = [("semantic", C.ranked_trail(s, g, by_product(spark, d))), ("gain", C.gain_trail(s, g, gain_candidates(spark, d)))]
+    trails = [("semantic", C.ranked_trail(s, g, by_product(spark, d))), ("gain", C.gain_expansion(s, g, facet_cover(spark, d))[1])]
     each = [t.groupBy("type", "status").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("strategy"), "type", "status", "n") for name, t in trails]
     return each[0].unionByName(each[1])
 
 
 @query
 def citation_gain_first_pick(spark, d):
-    g = gain_candidates(spark, d).withColumn("gains", V.gain(F.col("target"), F.col("coverage")))
-    g = g.withColumn("gain", F.array_max("gains")).where("gain > 0 and gain + 1e-12 >= 0.01")
-    first = g.groupBy("query_id").agg(F.max_by(F.struct("parent_id", "chunk_id", "gain"), F.struct(F.round("gain", 9), F.round(F.aggregate("gains", F.lit(0.0), lambda a, x: a + x), 9), -F.col("ord"))).alias("b"))
-    return rounded(first.select("query_id", "b.*"), gain=6)
+    return rounded(gain_of(spark, d, per_depth=1, per_heading=10**6)[0].select("query_id", "parent_id", "chunk_id", "gain"), gain=6)
 
 
 ORACLES["citation_gain_first_pick"] = f"""WITH {VEC}, {CITE}, {SEED}, nv AS (SELECT chunk_id, list_transform(v, lambda x: x / {NORM.format("v")}) AS v FROM v),
