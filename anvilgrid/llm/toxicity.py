@@ -2,15 +2,19 @@
 
 Words become classes (insult, threat, target, negation, reported speech, other). Five weighted transducers rewrite the
 class sequence of a clause: one marks insults, one marks threats that meet a target, one marks insults that meet a
-target, one turns marks behind a negation, one turns marks in reported speech. Their composition reads a clause and
-writes its best reading with the sum of the weights. Before it, the first three read the clause from its end, so that a
-target meets the word before it as well as the word behind it. A document's score is a logistic function of the readings
-of its matched clauses, not of isolated words.
+target, one turns marks behind a negation, one turns marks in reported speech. Their composition reads a clause twice,
+from its end, so that a word meets the target behind it, and from its beginning. What it writes is the clause's reading;
+the weights of the arcs that it took add up to the clause's weight, and a document's score is a logistic function of the
+sum over its matched clauses.
+
+A weight is a parameter of a kind of arc (WEIGHTS). The weights of all kinds are fitted on labelled rows, within bounds: an
+insult that meets no target, or a threat that has a target only before it, stays below the threshold by itself, so an
+isolated word decides nothing; negation and reported speech only lower.
 
 The insult lexicon is a small general list plus words and word beginnings learnt from labelled rows of the training
 folds (a bounded sample, SAMPLE_ROWS): a beginning is taken if it is far likelier in toxic than in other texts and
-accounts for toxic texts that nothing taken before accounts for. A threat word with such a beginning reads as an insult where it meets no target. The weights of the
-readings are fitted on the same rows.
+accounts for toxic texts that nothing taken before accounts for. A threat word with such a beginning reads as an insult
+where it meets no target.
 Every whole text is scanned with an Aho-Corasick automaton of the lexicon; a clause without any lexicon entry matches
 no pattern of the grammar, so only the others go through the transducers.
 
@@ -58,18 +62,26 @@ ABUSE, AIMED, MENACE, DENIED, QUOTED = range(6, 11)
 #: The class of a threat word with a learnt beginning.
 LEARNT_THREAT = 11
 READINGS = [ABUSE, AIMED, MENACE, DENIED, QUOTED]
-PRIOR = np.array([-3.5, 5.0, 6.0, 5.0, 2.5, 2.5])
+#: Kinds of arcs with a weight: an insult, an insult that meets a target, a threat with a target behind it or before it, a mark
+#: that a negation or reported speech turns.
+WEIGHTS = ["insult", "aimed", "threat_at", "threat_after", "denied", "quoted"]
+INSULTED, AIMED_AT, THREAT_AT, THREAT_AFTER, WAS_DENIED, WAS_QUOTED = range(6)
+#: Base, then WEIGHTS, before any row is seen.
+PRIOR = np.array([-4.5, 3.0, 3.0, 6.0, 3.0, -3.5, -3.5])
+#: How far below zero an isolated insult stays, and how often a kind counts in a document.
+MARGIN, MOST = 0.5, 3
 
 
 @dataclass
 class Transducer:
-    """arcs: (state, symbol) -> (written symbol, weight, next state); a symbol without arc is copied to ``otherwise``."""
+    """arcs: (state, symbol) -> (written symbol, kind of weight or None, next state); a symbol without arc is copied to
+    ``otherwise``."""
 
-    arcs: dict[tuple[int, int], tuple[int, float, int]] = field(default_factory=dict)
+    arcs: dict[tuple[int, int], tuple[int, int | None, int]] = field(default_factory=dict)
     otherwise: dict[int, int] = field(default_factory=dict)
 
-    def step(self, state: int, symbol: int) -> tuple[int, float, int]:
-        return self.arcs.get((state, symbol)) or (symbol, 0.0, self.otherwise.get(state, state))
+    def step(self, state: int, symbol: int) -> tuple[int, int | None, int]:
+        return self.arcs.get((state, symbol)) or (symbol, None, self.otherwise.get(state, state))
 
 
 @dataclass
@@ -77,60 +89,63 @@ class Composition:
     """The composition of transducers, each reading what the one before writes; states are tuples, made as needed."""
 
     parts: list[Transducer]
-    known: dict[tuple[tuple[int, ...], int], tuple[int, float, tuple[int, ...]]] = field(default_factory=dict)
+    known: dict[tuple[tuple[int, ...], int], tuple[int, tuple[int, ...], tuple[int, ...]]] = field(default_factory=dict)
 
-    def step(self, state: tuple[int, ...], symbol: int) -> tuple[int, float, tuple[int, ...]]:
+    def step(self, state: tuple[int, ...], symbol: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
         key = (state, symbol)
         if key not in self.known:
-            weight, after = 0.0, []
+            kinds, after = [], []
             for part, s in zip(self.parts, state, strict=True):
-                symbol, w, s = part.step(s, symbol)
-                weight += w
+                symbol, kind, s = part.step(s, symbol)
+                kinds += [] if kind is None else [kind]
                 after.append(s)
-            self.known[key] = (symbol, weight, tuple(after))
+            self.known[key] = (symbol, tuple(kinds), tuple(after))
         return self.known[key]
 
-    def read(self, symbols: list[int]) -> tuple[list[int], float]:
-        state, out, total = (0,) * len(self.parts), [], 0.0
+    def read(self, symbols: list[int]) -> tuple[list[int], np.ndarray]:
+        """What is written, and how often the path takes an arc of each kind; the path's weight is its product with theirs."""
+        state, out, taken = (0,) * len(self.parts), [], np.zeros(len(WEIGHTS))
         for s in symbols:
-            o, w, state = self.step(state, s)
+            o, kinds, state = self.step(state, s)
             out.append(o)
-            total += w
-        return out, total
+            for k in kinds:
+                taken[k] += 1
+        return out, taken
 
 
-def within(opens: list[int], turns: dict[int, tuple[int, float]], reach: int) -> Transducer:
+def within(opens: list[int], turns: dict[int, int], kind: int, reach: int) -> Transducer:
     """Once a symbol of ``opens`` was read, the symbols of ``turns`` are rewritten for ``reach`` more words."""
     t = Transducer()
     for s in range(reach + 1):
         t.otherwise[s] = max(0, s - 1)
         for o in opens:
-            t.arcs[s, o] = (o, 0.0, reach)
+            t.arcs[s, o] = (o, None, reach)
         if s:
-            for i, (o, w) in turns.items():
-                t.arcs[s, i] = (o, w, s if i in opens else s - 1)
+            for i, o in turns.items():
+                t.arcs[s, i] = (o, kind, s if i in opens else s - 1)
     return t
 
 
-def meetings() -> list[Transducer]:
+def meetings(threat: int) -> list[Transducer]:
     """Insults, threats at targets, insults of threat words that met none, aimed insults, in this order."""
-    insults = Transducer({(0, INSULT): (ABUSE, 1.0, 0)})
-    threats = within([TARGET], {THREAT: (MENACE, 1.0), LEARNT_THREAT: (MENACE, 1.0)}, 4)
-    learnt = Transducer({(0, LEARNT_THREAT): (ABUSE, 1.0, 0)})
-    aimed = within([TARGET], {ABUSE: (AIMED, 0.5)}, 3)
+    insults = Transducer({(0, INSULT): (ABUSE, INSULTED, 0)})
+    threats = within([TARGET], {THREAT: MENACE, LEARNT_THREAT: MENACE}, threat, 4)
+    learnt = Transducer({(0, LEARNT_THREAT): (ABUSE, INSULTED, 0)})
+    aimed = within([TARGET], {ABUSE: AIMED}, AIMED_AT, 3)
     return [insults, threats, learnt, aimed]
 
 
 def grammar() -> Composition:
     """Meetings with a target before, negation, reported speech, in this order."""
-    denied = within([NEGATION], {ABUSE: (DENIED, -0.7), AIMED: (DENIED, -0.7), MENACE: (DENIED, -0.7)}, 2)
-    quoted = within([REPORT], {ABUSE: (QUOTED, -0.7), AIMED: (QUOTED, -0.7), MENACE: (QUOTED, -0.7)}, 8)
-    return Composition([*meetings(), denied, quoted])
+    marks = (ABUSE, AIMED, MENACE)
+    denied = within([NEGATION], {m: DENIED for m in marks}, WAS_DENIED, 2)
+    quoted = within([REPORT], {m: QUOTED for m in marks}, WAS_QUOTED, 8)
+    return Composition([*meetings(THREAT_AFTER), denied, quoted])
 
 
 def ahead() -> Composition:
     """Meetings with a target behind, for a clause read from its end; learnt threats without one are left to grammar()."""
-    insults, threats, _, aimed = meetings()
+    insults, threats, _, aimed = meetings(THREAT_AT)
     return Composition([insults, threats, aimed])
 
 
@@ -168,21 +183,34 @@ class Lexicon:
             upto = m.start() if m else len(low)
             yield low[a:upto]
 
+    def marks(self, clause: str, both: bool = True) -> tuple[list[int], np.ndarray]:
+        """A clause's reading and the kinds of arcs taken; targets count that come before a word, and with ``both`` those
+        behind it too."""
+        kinds, taken = [self.kind(w) for w in WORD.findall(clause)], 0.0
+        if both:
+            written, taken = self.ahead.read(kinds[::-1])
+            kinds = written[::-1]
+        written, more = self.grammar.read(kinds)
+        return written, taken + more
+
     def readings(self, text: str, both: bool = False) -> np.ndarray:
-        """How many clauses have each reading; a clause counts once, by its strongest mark. Targets count that come
-        before a word, and with ``both`` those behind it too; scores are of both."""
+        """How many clauses have each reading; a clause counts once, by its strongest mark."""
         out = np.zeros(len(READINGS))
         for clause in self.clauses(text.lower()):
-            kinds = [self.kind(w) for w in WORD.findall(clause)]
-            if both:
-                kinds = self.ahead.read(kinds[::-1])[0][::-1]
-            written, _ = self.grammar.read(kinds)
+            written, _ = self.marks(clause, both)
             for mark in (MENACE, AIMED, ABUSE, QUOTED, DENIED):
                 if mark in written:
                     out[READINGS.index(mark)] += 1
                     break
         return out
 
+    def weigh(self, text: str) -> np.ndarray:
+        """Kinds of arcs taken over all matched clauses, each MOST times at most."""
+        out = np.zeros(len(WEIGHTS))
+        for clause in self.clauses(text.lower()):
+            out += self.marks(clause)[1]
+        return np.minimum(out, MOST)
+
 
 def without_copies(rows: list[tuple[str, int]], bands: int = 8) -> list[tuple[str, int]]:
     """One of each group of near copies, found by pairs of minimum hashes of three-word shingles: a group of copies is
@@ -225,30 +253,39 @@ def learn_stems(rows: list[tuple[str, int]]) -> list[str]:
     return [b for b in sorted({*taken, *sure}) if not any(b != s and b.startswith(s) for s in {*taken, *sure})]
 
 
+def bounded(w: np.ndarray) -> np.ndarray:
+    """Weights within what the grammar's kinds mean."""
+    w = w.copy()
+    w[0] = min(w[0], -1.0)
+    alone = -w[0] - MARGIN
+    for kind, (low, high) in {INSULTED: (0, alone), AIMED_AT: (0, np.inf), THREAT_AT: (0, np.inf), THREAT_AFTER: (0, alone), WAS_DENIED: (-np.inf, 0), WAS_QUOTED: (-np.inf, 0)}.items():
+        w[1 + kind] = np.clip(w[1 + kind], low, high)
+    return w
+
+
 def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Logistic regression drawn to PRIOR; weights of readings stay at least zero."""
-    w, x = PRIOR.copy(), np.concatenate([np.ones((len(x), 1)), np.minimum(x, 3)], 1)
+    """Logistic regression of the kinds' counts drawn to PRIOR, within bounds."""
+    w, x = PRIOR.copy(), np.concatenate([np.ones((len(x), 1)), x], 1)
     if not len(x):
         return w
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        g = x.T @ (p - y) / len(y) + 1e-4 * (w - PRIOR)
-        h = (x * (p * (1 - p))[:, None]).T @ x / len(y) + 1e-3 * np.eye(len(w))
-        w = w - np.clip(np.linalg.solve(h, g), -0.5, 0.5)
-        w[1:] = np.maximum(w[1:], 0)
+        g = x.T @ (p - y) / len(y) + 1e-3 * (w - PRIOR)
+        h = (x * (p * (1 - p))[:, None]).T @ x / len(y) + 2e-3 * np.eye(len(w))
+        w = bounded(w - np.clip(np.linalg.solve(h, g), -0.5, 0.5))
     return w
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """(learnt beginnings, weights: base, then READINGS)."""
+    """(learnt beginnings, weights: base, then WEIGHTS)."""
     rows = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), FOLDS) != HELD_OUT, sample_rows)
     stems = learn_stems(without_copies(rows))
     lexicon = Lexicon(stems)
-    return stems, fit_weights(np.array([lexicon.readings(t, True) for t, _ in rows]).reshape(-1, len(READINGS)), np.array([y for _, y in rows], float))
+    return stems, fit_weights(np.array([lexicon.weigh(t) for t, _ in rows]).reshape(-1, len(WEIGHTS)), np.array([y for _, y in rows], float))
 
 
 def rate(lexicon: Lexicon, weights: np.ndarray, text: str) -> float:
-    z = weights[0] + weights[1:] @ np.minimum(lexicon.readings(text, True), 3)
+    z = weights[0] + weights[1:] @ lexicon.weigh(text)
     return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
