@@ -46,7 +46,7 @@ from anvilgrid.session import Workspace
 SHINGLE = 5
 #: Members of a neighbourhood that one task compares, and nodes of one index; of long texts fewer, so that their shingles
 #: are about BLOCK_SHINGLES at most.
-TASK_MEMBERS, BLOCK, BLOCK_SHINGLES = 2000, 2000, 500_000
+TASK_MEMBERS, BLOCK, BLOCK_SHINGLES = 2000, 2000, 2_000_000
 #: A shingle in so large a share of documents goes last in the order (this decides speed alone).
 FREQUENT = 0.002
 #: So does one in so many rows whose digest is in the lowest part of all; of these the most frequent, LISTED at most.
