@@ -139,7 +139,7 @@ def known_category(text: Column) -> Column:
 
 
 def percentage(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f%%", value), F.lit("n/a"))
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.2f%%", value))
 
 
 def natural_order(question_id: Column) -> Column:

@@ -5,7 +5,7 @@ Nothing is collected but the first violations.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anvilgrid.functions import vectors as V
@@ -29,21 +29,21 @@ def with_source(metadata: DataFrame, chunks: DataFrame) -> DataFrame:
     """metadata (file, source_chunk_index, chunk_id, ...) with the ``source`` struct of its chunk: that of its place where the
     index is one of the file, else the first with its id. Raises where none is, or its id differs."""
     body = F.struct(*[c for c in chunks.columns if c != "file"])
-    size = Window.partitionBy("file")
-    place = chunks.select("file", F.col("source_chunk_index").alias("_at"), body.alias("_by_place"))
-    first = chunks.groupBy("file", "chunk_id").agg(F.min_by(body, "source_chunk_index").alias("_by_id"))
-    found = metadata.join(place, (metadata["file"] == place["file"]) & (metadata["source_chunk_index"] == place["_at"]), "left").drop(place["file"]).drop("_at")
-    lost = found.where("_by_place is null").drop("_by_place").join(first, ["file", "chunk_id"], "left").withColumnRenamed("_by_id", "source")
-    there = found.where("_by_place is not null").withColumnRenamed("_by_place", "source")
-    every = there.unionByName(lost.select(*there.columns))
-    fail = lambda m: F.raise_error(F.concat(F.lit(m), F.coalesce(F.col("chunk_id").cast("string"), F.lit("null")))).cast("boolean")
-    ok = F.when(F.col("source").isNull(), fail("no source chunk of ")).when(F.col("chunk_id").isNotNull() & (F.col("source.chunk_id") != F.col("chunk_id")), fail("another source chunk than ")).otherwise(True)
-    return every.where(ok) if size is not None else every
+    place = chunks.select(F.col("file").alias("_file"), F.col("source_chunk_index").alias("_at"), body.alias("_by_place"))
+    first = chunks.groupBy(F.col("file").alias("_file"), F.col("chunk_id").alias("_id")).agg(F.min_by(body, "source_chunk_index").alias("_by_id"))
+    found = metadata.join(place, (F.col("file") == F.col("_file")) & (F.col("source_chunk_index") == F.col("_at")), "left").drop("_file", "_at")
+    lost = found.where("_by_place is null").drop("_by_place").join(first, (F.col("file") == F.col("_file")) & (F.col("chunk_id") == F.col("_id")), "left").drop("_file", "_id").withColumnRenamed("_by_id", "source")
+    every = found.where("_by_place is not null").withColumnRenamed("_by_place", "source").unionByName(lost)
+    kind = every.schema["source"].dataType
+    fail = lambda m: F.raise_error(F.concat(F.lit(m), F.coalesce(F.col("chunk_id").cast("string"), F.lit("null")))).cast(kind)
+    other = F.col("chunk_id").isNotNull() & (F.col("source.chunk_id") != F.col("chunk_id"))
+    return every.withColumn("source", F.when(F.col("source").isNull(), fail("no source chunk of ")).when(other, fail("another source chunk than ")).otherwise(F.col("source")))
 
 
 def lexical_metadata(hits: DataFrame, metadata: DataFrame) -> DataFrame:
     """Lexical hits (query_id, series, metadata_index, score) with the metadata row of that place in their series."""
-    return hits.join(metadata, (hits["series"] == metadata["series"]) & (hits["metadata_index"] == metadata["embedding_row"]), "left").drop(metadata["series"])
+    at = metadata.withColumnRenamed("series", "_series").withColumnRenamed("embedding_row", "_row")
+    return hits.join(at, (F.col("series") == F.col("_series")) & (F.col("metadata_index") == F.col("_row")), "left").drop("_series", "_row")
 
 
 def corpus_violations(manifest: DataFrame, vectors: DataFrame, metadata: DataFrame, chunks: DataFrame, dims: int) -> DataFrame:
@@ -87,9 +87,9 @@ def body_digests(rows: DataFrame, key: str, body: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(body).cast("decimal(38,0)")).alias("checksum"))
 
 
-def canonical_json(c: Column) -> Column:
-    """A struct as JSON with its fields by name, without blanks, without missing ones."""
-    return F.to_json(c)
+def canonical_json(columns: list[str]) -> Column:
+    """The columns as a JSON object without blanks, fields in order of their names."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
 def anchor_violations(given: dict, expected: dict) -> list[str]:

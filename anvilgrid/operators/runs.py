@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from anvilgrid.functions.text import CATEGORIES
+
 
 def percent(part, whole):
     return F.bround(F.try_divide(100.0 * part, whole), 2)
@@ -83,3 +85,28 @@ def progress(records: DataFrame, every: int, buckets: int = 64) -> DataFrame:
 
 def duplicates(records: DataFrame, key: str) -> DataFrame:
     return records.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def summary_by_category(records: DataFrame, dataset: DataFrame) -> DataFrame:
+    """summary() with the rows that failed, for the known categories (also those without questions), then the others by name."""
+    known = records.sparkSession.createDataFrame([(c, i) for i, c in enumerate(CATEGORIES)], "category string, known int")
+    own = dataset.join(records, "question_id", "left").select("category", F.col("run").isNotNull().alias("ran"), "is_correct", F.col("status").isin("error", "failed").alias("bad"))
+    out = own.groupBy("category").agg(
+        F.count_if("ran").alias("run_rows"), F.count(F.lit(1)).alias("dataset_questions"), F.count("is_correct").alias("scored"),
+        F.count_if(F.col("is_correct")).alias("correct"), F.count_if(F.col("ran") & F.col("is_correct").isNull()).alias("unscored"), F.count_if(F.col("ran") & F.col("bad")).alias("failed"),
+    )
+    counts = ["run_rows", "dataset_questions", "scored", "correct", "unscored", "failed"]
+    out = out.join(F.broadcast(known), "category", "full").fillna(0, counts)
+    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("known"), "category"))  # a row for each category
+    ratio = lambda a, b: percent(F.col(a), F.nullif(F.col(b), F.lit(0)))
+    return out.select("category", place.cast("long").alias("position"), *counts, ratio("correct", "scored").alias("accuracy"), ratio("scored", "dataset_questions").alias("coverage"))
+
+
+def totals(runs: DataFrame) -> DataFrame:
+    """run, rows, scored, correct of each run."""
+    return runs.groupBy("run").agg(F.count(F.lit(1)).alias("rows"), F.count("is_correct").alias("scored"), F.count_if(F.col("is_correct")).alias("correct"))
+
+
+def completed(ordered: DataFrame, done: DataFrame, key: str = "question_id") -> DataFrame:
+    """The ids of a run that are done already."""
+    return ordered.join(done.select(key), key, "left_semi")

@@ -190,7 +190,7 @@ def lexical_query_terms(spark, d):
 
 ORACLES["lexical_query_terms"] = f"""WITH t AS (SELECT item_id AS query_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT item_id, regexp_extract_all(lower('What is the ' || text), '[a-z0-9]+') AS l FROM benchmark)),
 k AS (SELECT query_id, t, min(i) AS i FROM t WHERE length(t) >= 2 AND t NOT IN {STOP} GROUP BY ALL)
-SELECT item_id AS query_id, string_agg(t, ' OR ' ORDER BY i) AS lexical FROM benchmark LEFT JOIN k ON query_id = item_id GROUP BY item_id"""
+SELECT item_id AS query_id, string_agg('"' || t || '"', ' OR ' ORDER BY i) AS lexical FROM benchmark LEFT JOIN k ON query_id = item_id GROUP BY item_id"""
 
 
 @query

@@ -7,8 +7,7 @@ import pytest
 
 from anvilgrid.functions import text as T
 from anvilgrid.operators import citations, runs
-from anvilgrid.plans import catalogue
-from anvilgrid.plans.models import facets_of
+from anvilgrid.plans import catalogue, evaluation_queries  # noqa: F401  (the second registers with the first)
 from anvilgrid.sources import readers
 
 DATA = "/root/testdata/sf0.001"
@@ -52,6 +51,7 @@ def test_checkpoint_shapes(spark, tmp_path, text):
     assert [(r["question_id"], r["is_correct"]) for r in readers.checkpoint(spark, str(tmp_path / "c.json")).orderBy("line").collect()] == [("q 1", True), ("q 2", None)]
 
 
-def test_facets():
-    assert facets_of('["a [3GPP Release 17] b", "a  b", "c;", "d", "e", "f"]', "q") == ["a b", "c", "d", "e"]
-    assert facets_of("no json", "[3GPP Release 17] What?") == ["What?"]
+def test_facets(spark):
+    rows = [('{"facets": ["a [3GPP Release 17] b", "a  b", 7, "c;", "in Release 15", "d of the", "e", "f"]}', "q"), ("no json", "[3GPP Release 17] What?"), ('["a"]', " w "), ('{"facets": "a"}', "q"), (None, "q")]
+    df = spark.createDataFrame(rows, "reply string, question string")
+    assert [list(r[0]) for r in df.select(T.facets(df["reply"], df["question"])).collect()] == [["a b", "c", "d", "e"], ["What?"], ["w"], ["q"], ["q"]]
