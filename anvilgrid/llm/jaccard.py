@@ -23,7 +23,8 @@ sets overlap in at least 3/7 of the sum of their sizes (a Jaccard similarity of
 No link between different sets is lost: the signatures are exact, blocks cover all pairs of 4, and there is no cap.
 
 Defined cases: null or empty texts and texts without words have an empty set and are their own component; fewer than five
-words are one shingle; rows that repeat have equal results; a null doc_id counts as the least id and shows as null.
+words are one shingle; rows that repeat have equal results; rows that share an id, or have none, and differ in text are
+compared each by its own text; a null doc_id counts as the least id and shows as null.
 """
 
 from __future__ import annotations
@@ -96,17 +97,22 @@ def node_ids(gram: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(U64)).astype(np.int64)
 
 
-def read_sets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_id, node, digests, bounds), some texts at a time."""
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, h, text: rows that share an id are told apart by a digest of their texts."""
+    return keyed(docs).withColumn("h", F.xxhash64("text"))
+
+
+def read_sets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, node, digests, bounds), some texts at a time."""
     for b in batches:
-        raw, ids = [t.encode() for t in b["text"]], b["doc_id"].to_numpy(np.int64)
+        raw = [t.encode() for t in b["text"]]
         for first, last in steps(raw):
             gram, bounds = shingle_sets(raw[first:last])
-            yield ids[first:last], node_ids(gram, bounds), gram, bounds
+            yield b.iloc[first:last], node_ids(gram, bounds), gram, bounds
 
 
 def survey(docs: DataFrame, work: Workspace) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, node) of each row, and the frequent shingles.
+    """(doc_id, h, n, node) of each row, and the frequent shingles.
 
     Tasks count shingles over all of their texts and report those frequent among the texts of a step; shares of all
     documents then decide, so the list is bounded by the mean set size / FREQUENT.
@@ -114,14 +120,14 @@ def survey(docs: DataFrame, work: Workspace) -> tuple[DataFrame, np.ndarray]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[int] = Counter()
-        for ids, node, gram, bounds in read_sets(batches):
-            yield pd.DataFrame({"doc_id": ids, "n": np.diff(bounds), "node": node, "shingle": None})
+        for rows, node, gram, bounds in read_sets(batches):
+            yield pd.DataFrame({"doc_id": rows["doc_id"].array, "h": rows["h"].array, "n": np.diff(bounds), "node": node, "shingle": None})
             values, count = np.unique(gram, return_counts=True)
-            often = count >= max(3, FREQUENT * len(ids))
+            often = count >= max(3, FREQUENT * len(rows))
             seen.update(dict(zip(values[often].astype(np.int64).tolist(), count[often].tolist(), strict=True)))
-        yield pd.DataFrame({"doc_id": None, "n": list(seen.values()), "node": None, "shingle": list(seen)})
+        yield pd.DataFrame({"doc_id": None, "h": None, "n": list(seen.values()), "node": None, "shingle": list(seen)})
 
-    every = work.save(keyed(docs).mapInPandas(nonempty(run), "doc_id long, n long, node long, shingle long"), "survey")
+    every = work.save(rows_of(docs).mapInPandas(nonempty(run), "doc_id long, h long, n long, node long, shingle long"), "survey")
     nodes = every.where("shingle is null").drop("shingle")
     least = max(3, int(FREQUENT * nodes.count()))
     often = every.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "shingle").limit(1_000_000).select("shingle")
@@ -374,10 +380,10 @@ def find_links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, work: Wo
     members = work.save(common.join(centers, "signature").groupBy("center", "node").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n")), "members")
     work.drop("able")
     # a text of each node that has neighbours
-    asked = nodes.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    asked = nodes.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("least")).select("node", "least.*")
     asked = work.save(asked, "asked")
     few = asked.count() <= BROADCAST_IDS
-    texts = work.save(keyed(docs).join(F.broadcast(asked) if few else asked, "doc_id").select("node", "text"), "texts")
+    texts = work.save(rows_of(docs).join(F.broadcast(asked) if few else asked, ["doc_id", "h"]).select("node", "text"), "texts")
     main = work.save(members.where("node != center").groupBy("node").agg(F.max_by("center", F.struct("shared", "center")).alias("center")), "main")
     sizes = main.groupBy("center").agg(F.count(F.lit(1)).alias("members"))
     salts = F.ceil(F.col("members") / TASK_MEMBERS).cast("int")
@@ -408,25 +414,34 @@ def find_links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, work: Wo
     return work.save(star.unionByName(found), "links")
 
 
-def join_similar(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def classes(docs: DataFrame, block: int) -> DataFrame:
+    """doc_id, h, n, node, root of every row; a written table."""
     work = Workspace(docs.sparkSession, "jaccard")
     nodes, frequent = survey(docs, work)
     links = find_links(docs, nodes, common_shingles(docs, frequent, work), work, block)
     roots = components(links, work)
-    rooted = work.save(nodes.join(roots, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    rooted = work.save(nodes.join(roots, "node", "left").select("doc_id", "h", "n", "node", F.coalesce("root", "node").alias("root")), "rooted")
     for name in ("survey", "members", "asked", "texts", "main", "star", "placed", "open"):
         work.drop(name)
+    return rooted
+
+
+def join_similar(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    rooted = classes(docs, block)
     least = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     own = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return rooted.join(least, "root", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).select(own("doc_id"), F.col("n").alias("n_shingles"), own("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one row of each component: that of its least doc_id. Rows without an id stay."""
-    kept = join_similar(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, docs["doc_id"].cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(docs["doc_id"].isNull()))
+def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """docs, all columns, with one row of each component: that of its least doc_id (a null one is the least). Rows of one id
+    with different texts are documents of their own; rows that repeat id and text are one; so is a text without words."""
+    rooted = classes(docs, block)
+    kept = rooted.where("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("least")).select("least.*")
+    kept = kept.unionByName(rooted.where("n = 0").select("doc_id", "h")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_h"))
+    return rows.join(kept, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select("row.*")
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

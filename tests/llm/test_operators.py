@@ -148,6 +148,16 @@ def test_contamination_is_judged_by_row_whatever_the_blocks(spark):
         assert sorted((r.spans, r.text) for r in clean.collect() if r.text is not None) == [(2, "other words here"), (3, "x y " * 200)] and clean.where("text is null").count() == 1
 
 
+def test_rows_that_share_an_id_are_compared_by_their_own_texts(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base, 1), (1, "quite other words than those", 2), (3, base + " end", 3), (4, base, 4), (None, "some words of a text here", 5), (None, "some words of a text here too, and many more of them", 6), (1, base, 1), (5, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h int")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in jaccard.join_similar(docs).collect())
+    assert got == [(-1, 2, -1), (-1, 8, -1), (1, 1, 1), (1, 56, 1), (1, 56, 1), (3, 57, 1), (4, 56, 1), (5, 0, 5)]
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.h for r in kept.collect()) == [1, 2, 5, 6, 7]
+
+
 def test_divide_skip():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**40, 200)
