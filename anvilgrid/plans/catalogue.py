@@ -330,13 +330,14 @@ def by_product(spark, d):
 SEED = f"s0 AS (SELECT query_id, chunk_id, list_dot_product(q, v) AS score FROM q, v), sd AS (SELECT query_id, chunk_id, {RANK} FROM s0 {TOP.format(k=K)})"
 
 
-def bfs_sql(scores: str) -> str:
-    return f"""g AS (SELECT sd.query_id, sd.rank AS pos, parent_id, ref, target_id AS chunk_id FROM sd JOIN res ON sd.chunk_id = parent_id AND target_id IS NOT NULL),
-fr AS (SELECT * FROM g ANTI JOIN sd USING (query_id, chunk_id)), {scores},
+def bfs_sql(scores: str, frontier: str = "sd", depth: int = 1) -> str:
+    again = "" if frontier == "sd" else f" ANTI JOIN {frontier} USING (query_id, chunk_id)"
+    return f"""g AS (SELECT fo.query_id, fo.rank AS pos, res.parent_id, ref, target_id AS chunk_id FROM {frontier} fo JOIN res ON fo.chunk_id = res.parent_id AND target_id IS NOT NULL),
+fr AS (SELECT * FROM g ANTI JOIN sd USING (query_id, chunk_id){again}), {scores},
 a AS (SELECT fr.*, score, row_number() OVER (PARTITION BY query_id, pos, ref ORDER BY round(score, 9) DESC NULLS LAST, chunk_id) AS ig FROM fr LEFT JOIN sc USING (query_id, chunk_id)),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pos, ref, ig) AS fi FROM a WHERE ig <= 4 AND score IS NOT NULL),
 o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos, ref, ig) AS BIGINT) AS rank FROM b WHERE fi = 1)
-SELECT query_id, CAST(parent_id AS BIGINT) AS parent_id, CAST(chunk_id AS BIGINT) AS chunk_id, CAST(1 AS BIGINT) AS depth, round(score, 6) AS score, rank FROM o WHERE rank <= 4"""
+SELECT query_id, CAST(parent_id AS BIGINT) AS parent_id, CAST(chunk_id AS BIGINT) AS chunk_id, CAST({depth} AS BIGINT) AS depth, round(score, 6) AS score, rank FROM o WHERE rank <= 4"""
 
 
 @query
@@ -355,11 +356,22 @@ def citation_rrf_bfs(spark, d):
     return rounded(C.expand(seeds(spark, d), C.resolve(*cited(spark, d)), lambda c: C.rrf_scores(c, by_product(spark, d)(c), R.bm25(q, texts, c))), score=9)
 
 
+ASKED = "(SELECT doc_id, text FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)) asked"
+FUSED = """cd AS (SELECT DISTINCT query_id, chunk_id FROM fr), pr AS (SELECT query_id, chunk_id, list_dot_product(q, v) AS score FROM cd JOIN v USING (chunk_id) JOIN q USING (query_id)),
+dr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS n FROM pr),
+lr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS n FROM cd JOIN bm USING (query_id, chunk_id)),
+sc AS (SELECT query_id, chunk_id, coalesce(0.3 / (60 + dr.n), 0) + coalesce(0.7 / (60 + lr.n), 0) AS score FROM dr FULL JOIN lr USING (query_id, chunk_id))"""
+ORACLES["citation_rrf_bfs"] = f"WITH {VEC}, {CITE}, {SEED}, {bm25_sql().replace('item_id', 'doc_id').replace('FROM benchmark', 'FROM ' + ASKED)}, {bfs_sql(FUSED).replace('round(score, 6)', 'round(score, 9)')}"
+
+
 @query
 def citation_semantic_bfs_depth2(spark, d):
     return rounded(C.expand(seeds(spark, d), C.resolve(*cited(spark, d)), by_product(spark, d), depth=2), score=6)
 
 
+ORACLES["citation_semantic_bfs_depth2"] = f"WITH {VEC}, {CITE}, {SEED}, p1 AS (WITH {bfs_sql(PRODUCT)}), p2 AS (WITH {bfs_sql(PRODUCT, 'p1', 2)}) SELECT * FROM p1 UNION ALL SELECT * FROM p2"
+
+
 def facet_cover(spark, d):
     """Facets of a question are three fixed vectors; a chunk covers them by its cosine with each."""
     v = vectors(spark, d).select("chunk_id", V.normalised(F.col("v")).alias("v"))
