@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anvilgrid.llm.common import U64, documents, mix, steps, nonempty
-from anvilgrid.llm.spans import cut_spans, keyed
+from anvilgrid.llm.spans import by_row, cut_spans
 from anvilgrid.session import Workspace
 
 #: Bytes of a chunk at least and at most, and hash bits that are zero at a boundary.
@@ -56,13 +56,13 @@ def boundaries(data: np.ndarray) -> list[int]:
     return out
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """digest (128 bits), doc_id, start, size of each chunk."""
+def chunk_rows(rows: DataFrame) -> DataFrame:
+    """digest (128 bits), key, start, size of each chunk of rows (key, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             raw = [t.encode() for t in b["text"]]
-            ids = b["doc_id"].tolist()
+            ids = b["key"].tolist()
             for first, last in steps(raw):
                 digests, doc, starts, sizes = [], [], [], []
                 for k in range(first, last):
@@ -75,26 +75,27 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                             sizes.append(end - at)
                             at = end
                         doc += [ids[k]] * len(ends)
-                yield pd.DataFrame({"digest": digests, "doc_id": np.array(doc, np.int64), "start": np.array(starts, np.int64), "size": np.array(sizes, np.int32)})
+                yield pd.DataFrame({"digest": digests, "key": np.array(doc, np.int64), "start": np.array(starts, np.int64), "size": np.array(sizes, np.int32)})
 
-    return keyed(docs).mapInPandas(nonempty(run), "digest binary, doc_id long, start long, size int")
+    return rows.select("key", "text").mapInPandas(nonempty(run), "digest binary, key long, start long, size int")
 
 
-def repeated_chunks(docs: DataFrame, work: Workspace) -> DataFrame:
-    """(doc_id, start, end) of chunks that were seen earlier."""
-    rows = work.save(chunk_rows(docs), "chunks")
-    first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
+def repeated_chunks(documents: DataFrame, work: Workspace) -> DataFrame:
+    """(key, start, end) of chunks that were seen earlier."""
+    rows = work.save(chunk_rows(documents), "chunks")
+    first = rows.groupBy("digest").agg(F.min(F.struct("key", "start")).alias("first"), F.max(F.struct("key", "start")).alias("last"))
     shared = first.where(F.col("first") != F.col("last")).select("digest", "first")
-    place = F.struct(F.col("doc_id"), F.col("start"))
-    return rows.join(shared, "digest").where(place > F.col("first")).select("doc_id", "start", (F.col("start") + F.col("size")).alias("end")).distinct()
+    place = F.struct(F.col("key"), F.col("start"))
+    return rows.join(shared, "digest").where(place > F.col("first")).select("key", "start", (F.col("start") + F.col("size")).alias("end")).distinct()
 
 
 def dedup_chunks(docs: DataFrame, text: bool = True) -> DataFrame:
     """docs without repeated chunks, as cut_spans returns them."""
     work = Workspace(docs.sparkSession, "chunks")
-    spans = work.save(repeated_chunks(docs, work), "spans")
+    rows = by_row(docs, work)
+    spans = work.save(repeated_chunks(rows, work), "spans")
     work.drop("chunks")
-    return cut_spans(docs, spans, text)
+    return cut_spans(rows, spans, text)
 
 
 def op6_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anvilgrid.llm.common import doc_view, nonempty
-from anvilgrid.session import ship
+from anvilgrid.session import Workspace, ship
 
 #: Stands for a null doc_id while rows are joined.
 NO_ID = -(1 << 63)
@@ -22,6 +22,20 @@ def keyed(docs: DataFrame) -> DataFrame:
     return doc_view(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
 
 
+def by_row(docs: DataFrame, work: Workspace) -> DataFrame:
+    """key, doc_id, text: rows with a number in the order of their ids, without nulls.
+
+    It is the id itself, but where rows share an id (or have none) and differ in text: then a document is a pair of id and
+    text, and pairs are numbered in the order of ids, in a written table. Only ids and digests are compared for that.
+    """
+    rows = keyed(docs)
+    pairs = rows.select("doc_id", F.xxhash64("text").alias("h"))
+    if pairs.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").limit(1).isEmpty():
+        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text")
+    numbers = work.save(pairs.distinct().orderBy("doc_id", "h").select("doc_id", "h", F.monotonically_increasing_id().alias("key")), "keys")
+    return work.save(rows.withColumn("h", F.xxhash64("text")).join(numbers, ["doc_id", "h"]).select("key", "doc_id", "text"), "by_row")
+
+
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the union of [start, end)."""
     order = np.argsort(starts, kind="stable")
@@ -31,15 +45,15 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[first], e[np.concatenate([first[1:] - 1, [len(s) - 1]])]
 
 
-def cut_spans(docs: DataFrame, spans: DataFrame, text: bool = True) -> DataFrame:
-    """docs without the bytes of spans (doc_id, start, end); the spans of a document are its own size at most.
+def cut_spans(rows: DataFrame, spans: DataFrame, text: bool = True) -> DataFrame:
+    """by_row() rows without the bytes of spans (key, start, end); the spans of a document are its own size at most.
 
     doc_id, n_bytes, n_removed, n_spans, kept_sha256, and if ``text`` the removed runs (array<struct<start,end>>) and the
-    kept bytes. A span beyond a text's end is clipped. Rows that share a doc_id share its spans.
+    kept bytes. A span beyond a text's end is clipped. Rows that repeat id and text share their spans.
     """
-    ship(docs.sparkSession)
-    own = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    joined = keyed(docs).join(own, "doc_id", "left").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    ship(rows.sparkSession)
+    own = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    joined = rows.join(own, "key", "left").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -8,14 +8,17 @@
 3. Refinement. The first runs of buckets with several contents are sorted: suffixes begin in buckets by their first
    eight bytes, and each round sorts on the pair of a suffix's bucket and the bucket of the suffix as many bytes further
    on, so that the bucket identifiers found in one round are the keys of the next (8, 16, 32, 64, 100 bytes). Windows left
-   in one bucket are equal; all but the first place are repeated. Buckets with more than TASK_RUNS contents are first
-   split further by the digest of each window, which spreads even one hot bucket over all tasks.
+   in one bucket are equal; all but the first place are repeated. A bucket with more contents than one task sorts
+   (TASK_RUNS) is refined by the same rule over all tasks: a window's buckets at the offsets 0, 32, 64 and 68, which cover it,
+   are dealt as its key, and the first place of each key is found with counts combined before the shuffle. Which of the two
+   ways a bucket takes changes no result.
 
 Texts are read again where bytes are needed; they are never dealt out whole for sorting. The result is exact up to
-collisions of 64-bit digests of different strings within one bucket in step 2 and of 128-bit digests in a split bucket.
+collisions of 64-bit digests of different strings within one bucket in step 2, and of all four bucket names of a window.
 
 Defined cases: texts under MATCH bytes lose nothing; null = empty; matches do not cross documents; rows that repeat a
-doc_id with the same text are one document; a null doc_id comes before all others.
+doc_id with the same text are one document, with other texts they are others, in the order of the texts' digests; a null
+doc_id comes before all others.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anvilgrid.llm.common import BASE, U64, documents, mix, powers, steps, nonempty
-from anvilgrid.llm.spans import cut_spans, keyed
+from anvilgrid.llm.spans import by_row, cut_spans
 from anvilgrid.session import Workspace
 
 MATCH, Q = 100, 32
@@ -96,17 +99,25 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return least[begin].astype(np.int64), digest.astype(np.int64), own, begin - offset[own], count, inner
 
 
-def run_rows(docs: DataFrame) -> DataFrame:
-    """bucket, digest, doc_id, start, n (windows), inner of every run."""
+def run_rows(rows: DataFrame) -> DataFrame:
+    """bucket, digest, key, start, n (windows), inner of every run of rows (key, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            raw, ids = [t.encode() for t in b["text"]], b["doc_id"].to_numpy(np.int64)
+            raw, ids = [t.encode() for t in b["text"]], b["key"].to_numpy(np.int64)
             for first, last in steps(raw):
                 bucket, digest, text, start, n, inner = runs_of(raw[first:last])
-                yield pd.DataFrame({"bucket": bucket, "digest": digest, "doc_id": ids[first:last][text], "start": start, "n": n.astype(np.int32), "inner": inner.astype(bool)})
+                yield pd.DataFrame({"bucket": bucket, "digest": digest, "key": ids[first:last][text], "start": start, "n": n.astype(np.int32), "inner": inner.astype(bool)})
 
-    return keyed(docs).mapInPandas(nonempty(run), "bucket long, digest long, doc_id long, start long, n int, inner boolean")
+    return rows.select("key", "text").mapInPandas(nonempty(run), "bucket long, digest long, key long, start long, n int, inner boolean")
+
+
+def window_buckets(piece: bytes) -> np.ndarray:
+    """For each window of a piece the names of its buckets at the offsets 0, Q, 2Q and the last, which cover it."""
+    total, down = prefix_hash(np.frombuffer(piece, np.uint8))
+    name = mix((total[Q:] - total[:-Q]) * down[: len(piece) - Q + 1]).astype(np.int64)
+    n = len(piece) - MATCH + 1
+    return np.stack([name[at : at + n] for at in (0, Q, 2 * Q, MATCH - Q)])
 
 
 def refine(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,52 +167,53 @@ def as_spans(doc: np.ndarray, start: np.ndarray) -> pd.DataFrame:
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + MATCH)]) if len(doc) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(doc)]])[: len(first)] - 1
-    return pd.DataFrame({"doc_id": doc[first].astype(np.int64), "start": start[first].astype(np.int64), "end": (start[last] + MATCH).astype(np.int64)})
+    return pd.DataFrame({"key": doc[first].astype(np.int64), "start": start[first].astype(np.int64), "end": (start[last] + MATCH).astype(np.int64)})
 
 
-SPAN = "doc_id long, start long, end long"
+SPAN = "key long, start long, end long"
 
 
-def repeated_spans(docs: DataFrame, work: Workspace, task_runs: int = TASK_RUNS) -> DataFrame:
-    """(doc_id, start, end) of bytes that a repeated window covers; spans may overlap."""
-    spark = docs.sparkSession
+def repeated_spans(rows: DataFrame, work: Workspace, task_runs: int = TASK_RUNS) -> DataFrame:
+    """(key, start, end) of bytes that a repeated window covers; spans may overlap."""
+    spark = rows.sparkSession
     # buckets with at least two runs; a count and a digest range for each task and bucket is all that is dealt
     shared = work.save(
-        run_rows(docs).select("bucket", "inner", F.xxhash64("doc_id", "start").alias("place")).groupBy("bucket")
+        run_rows(rows).select("bucket", "inner", F.xxhash64("key", "start").alias("place")).groupBy("bucket")
         .agg(F.min("place").alias("a"), F.max("place").alias("b"), F.max("inner").alias("inner")).where("a != b or inner").select("bucket"),
         "shared",
     )
-    runs = work.save(run_rows(docs).join(shared, "bucket"), "runs")
-    place = F.struct("doc_id", "start", "n")
+    runs = work.save(run_rows(rows).join(shared, "bucket"), "runs")
+    place = F.struct("key", "start", "n")
     contents = work.save(runs.groupBy("bucket", "digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("inner").alias("inner")), "contents")
     # runs whose bytes were seen earlier
     several = contents.where("first != last").select("bucket", "digest", "first")
-    whole = runs.join(several, ["bucket", "digest"]).where(place != F.col("first")).select("doc_id", "start", (F.col("start") + F.col("n") + (MATCH - 1)).cast("long").alias("end"))
+    whole = runs.join(several, ["bucket", "digest"]).where(place != F.col("first")).select("key", "start", (F.col("start") + F.col("n") + (MATCH - 1)).cast("long").alias("end"))
     work.save(whole, "whole")
     # first runs of buckets with several contents
     counts = contents.groupBy("bucket").agg(F.count(F.lit(1)).alias("contents"), F.max("inner").alias("inner")).where("contents > 1 or inner").drop("inner")
     todo = work.save(contents.join(counts, "bucket").select("bucket", "contents", "first.*"), "todo")
-    asked = todo.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "contents", "start", "n")).alias("runs"))
+    asked = lambda some: rows.join(todo.where(some).groupBy("key").agg(F.collect_list(F.struct("bucket", "start", "n")).alias("runs")), "key").select("key", "text", "runs")
+
+    def pieces_of(b: pd.DataFrame) -> Iterator[tuple[int, int, int, bytes]]:
+        for key, text, some in zip(b["key"], b["text"], b["runs"], strict=True):
+            raw = text.encode()
+            for r in some:
+                yield r["bucket"], key, r["start"], raw[r["start"] : r["start"] + r["n"] + MATCH - 1]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cols: dict[str, list] = {c: [] for c in ("bucket", "hot", "doc_id", "start", "bytes")}
-            for doc_id, text, runs_ in zip(b["doc_id"], b["text"], b["runs"], strict=True):
-                raw = text.encode()
-                for r in runs_:
-                    hot = r["contents"] > task_runs
-                    piece = raw[r["start"] : r["start"] + r["n"] + MATCH - 1]
-                    # in a hot bucket each window goes its own way, by its digest
-                    for k in range(r["n"]) if hot else (None,):
-                        part = piece if k is None else piece[k : k + MATCH]
-                        cols["bucket"].append(r["bucket"])
-                        cols["hot"].append(hot)
-                        cols["doc_id"].append(doc_id)
-                        cols["start"].append(r["start"] + (k or 0))
-                        cols["bytes"].append(part)
-            yield pd.DataFrame(cols)
-
-    pieces = keyed(docs).join(asked, "doc_id").mapInPandas(nonempty(cut), "bucket long, hot boolean, doc_id long, start long, bytes binary")
+            yield pd.DataFrame(pieces_of(b), columns=["bucket", "key", "start", "bytes"])
+
+    def cut_hot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            held = [(bucket, key, start, window_buckets(piece)) for bucket, key, start, piece in pieces_of(b)]
+            if held:
+                n = [names.shape[1] for *_, names in held]
+                of = lambda i: np.repeat(np.array([h[i] for h in held], np.int64), n)  # noqa: B023, E731
+                place = np.arange(sum(n)) - np.repeat(np.cumsum(n) - n, n)
+                yield pd.DataFrame({"bucket": of(0), **dict(zip(("b0", "b1", "b2", "b3"), np.concatenate([h[3] for h in held], 1), strict=True)), "key": of(1), "start": of(2) + place})
+
+    pieces = asked(F.col("contents") <= task_runs).mapInPandas(nonempty(cut), "bucket long, key long, start long, bytes binary")
     work.save(pieces, "pieces")
     pieces = work.load("pieces", pieces.schema)
 
@@ -211,7 +223,7 @@ def repeated_spans(docs: DataFrame, work: Workspace, task_runs: int = TASK_RUNS)
 
         def done(parts: list[pd.DataFrame]) -> pd.DataFrame:
             p = pd.concat(parts)
-            return as_spans(*repeated_windows(p["bytes"].tolist(), p["doc_id"].to_numpy(np.int64), p["start"].to_numpy(np.int64)))
+            return as_spans(*repeated_windows(p["bytes"].tolist(), p["key"].to_numpy(np.int64), p["start"].to_numpy(np.int64)))
 
         for b in batches:  # in order of buckets: what is held back is the bucket that may go on
             bucket = b["bucket"].to_numpy()
@@ -229,13 +241,14 @@ def repeated_spans(docs: DataFrame, work: Workspace, task_runs: int = TASK_RUNS)
         if held:
             yield done(held)
 
-    cold = pieces.where("not hot").repartition(spark_partitions(spark), "bucket").sortWithinPartitions("bucket").mapInPandas(nonempty(sort), SPAN)
-    windows = pieces.where("hot").select(F.md5("bytes").alias("digest"), "doc_id", "start")
-    firsts = windows.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).where("first != last").select("digest", "first")
-    hot = windows.join(firsts, "digest").where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", (F.col("start") + MATCH).cast("long").alias("end"))
+    cold = pieces.repartition(spark_partitions(spark), "bucket").sortWithinPartitions("bucket").mapInPandas(nonempty(sort), SPAN)
+    names, at = ["bucket", "b0", "b1", "b2", "b3"], F.struct("key", "start")
+    windows = work.save(asked(F.col("contents") > task_runs).mapInPandas(nonempty(cut_hot), ", ".join(f"{n} long" for n in [*names, "key", "start"])), "windows")
+    firsts = windows.groupBy(*names).agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first != last").select(*names, "first")
+    hot = windows.join(firsts, names).where(at != F.col("first")).select("key", "start", (F.col("start") + MATCH).cast("long").alias("end"))
     edge = work.save(cold.unionByName(hot), "edge")
     whole = work.load("whole", edge.schema)
-    for name in ("shared", "runs", "contents", "todo", "pieces"):
+    for name in ("shared", "runs", "contents", "todo", "pieces", "windows"):
         work.drop(name)
     return whole.unionByName(edge)
 
@@ -246,7 +259,9 @@ def spark_partitions(spark: SparkSession) -> int:
 
 def dedup_substrings(docs: DataFrame, text: bool = True, task_runs: int = TASK_RUNS) -> DataFrame:
     """docs without repeated strings, as cut_spans returns them."""
-    return cut_spans(docs, repeated_spans(docs, Workspace(docs.sparkSession, "substrings"), task_runs), text)
+    work = Workspace(docs.sparkSession, "substrings")
+    rows = by_row(docs, work)
+    return cut_spans(rows, repeated_spans(rows, work, task_runs), text)
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,6 +240,19 @@ def test_substrings(docs, none, task_runs):
         assert substrings.dedup_substrings(none).count() == 0
 
 
+def test_rows_that_share_an_id_lose_their_own_bytes(spark):
+    """Each row is a document of its own; of rows that repeat id and text all are the first."""
+    a, b = " ".join(f"one{i}" for i in range(60)), " ".join(f"two{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + b), (None, "x" + a[:150]), (None, "short"), (1, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = substrings.dedup_substrings(docs).collect()
+    assert sorted(bytes(r.kept).decode() for r in out if r.doc_id is None) == sorted(["x" + a[:150], "short"])
+    assert len(out) == 6 and all(a[150:] in bytes(r.kept).decode() or b in bytes(r.kept).decode() for r in out if r.doc_id == 1)
+    assert all(r.n_bytes - r.n_removed == len(r.kept) for r in out) and next(r for r in out if r.doc_id == 2).n_removed >= len(a + b) - 99
+    kept = chunks.dedup_chunks(docs).collect()
+    assert len(kept) == 6 and b.encode() in [bytes(r.kept) for r in kept if r.doc_id == 1]
+
+
 def test_chunks(docs, none):
     first, want = set(), {}
     for i, t in sorted({(-1 if i is None else i): t for i, t, *_ in ROWS}.items()):
