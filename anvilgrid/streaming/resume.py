@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def written(spark: SparkSession, sink: str) -> DataFrame | None:
+    """The rows of a sink, or None before its first batch."""
+    jvm = spark.sparkContext._jvm
+    parts = jvm.org.apache.hadoop.fs.Path(f"{sink}/stream=*/epoch=*/*.parquet")
+    found = parts.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(parts)
+    return spark.read.parquet(sink) if found else None
+
+
 def evaluate_stream(spark: SparkSession, questions: str, schema: str, sink: str, checkpoint: str, evaluate: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Answers each question id that the sink has not: file source, checkpoint, anti-join against the sink, append."""
+    """Answers each question id that the sink has not: file source, checkpoint, anti-join against the sink.
+
+    A batch is written as the partition (stream, epoch) of the sink and replaces what an earlier attempt at the same batch
+    left there, so a crash between writing and the checkpoint's commit writes nothing twice. The stream is named by its
+    checkpoint; of two streams that run on one sink at the same time, both may answer a question.
+    """
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def step(batch: DataFrame, epoch: int) -> None:
-        fresh = batch.dropDuplicates(["question_id"])
-        try:
-            done = spark.read.parquet(sink).select("question_id")
-        except Exception as e:  # the sink has no rows yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            fresh = fresh.join(done, "question_id", "left_anti")
-        evaluate(fresh).write.mode("append").parquet(sink)
+        fresh, done = batch.dropDuplicates(["question_id"]), written(spark, sink)
+        if done is not None:
+            others = done.where(~((F.col("stream") == name) & (F.col("epoch") == epoch))).select("question_id")
+            fresh = fresh.join(others, "question_id", "left_anti")
+        out = evaluate(fresh).withColumns({"stream": F.lit(name), "epoch": F.lit(epoch).cast("long")})
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream", "epoch").parquet(sink)
 
     stream = spark.readStream.schema(schema).json(questions)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
