@@ -34,7 +34,7 @@ from anvilgrid.session import Workspace
 #: Splits text before merging (fixed by the vocabulary's format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Letters, numbers and blanks of the first 256 characters, as that pattern's classes have them.
-LATIN_LETTERS, LATIN_NUMBERS, LATIN_BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r\x1c-\x20\x85\xa0"
+LATIN_LETTERS, LATIN_NUMBERS, LATIN_BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r\x20\x85\xa0"
 #: Words of the corpus that the lexicon takes at most, and the most a task reports.
 LEXICON_WORDS, TASK_WORDS = 100_000, 40_000
 #: Characters of words and their ids that a worker remembers in each of two generations (with what Python adds, some 20 MB),
