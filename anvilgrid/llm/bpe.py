@@ -37,9 +37,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LATIN_LETTERS, LATIN_NUMBERS, LATIN_BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r\x20\x85\xa0"
 #: Words of the corpus that the lexicon takes at most, and the most a task reports.
 LEXICON_WORDS, TASK_WORDS = 100_000, 40_000
-#: Characters of words and their ids that a worker remembers in each of two generations (with what Python adds, some 20 MB),
+#: Characters of words and their ids that a worker remembers in each of two generations (with what Python adds),
 #: and the longest word that it remembers.
-REMEMBERED, OVERHEAD, REMEMBERED_BYTES = 20 << 20, 190, 64
+REMEMBERED, OVERHEAD, REMEMBERED_BYTES = 40 << 20, 190, 64
 #: What may stand around a counted word.
 AROUND = ".,;:!?()[]{}\"'<>|*_-/\\\r\n\t"
 #: Bytes of a word up to which it is merged side by side with others, and words of one such block.
@@ -254,10 +254,16 @@ class Lexicon:
         self.arcs = np.append(np.repeat(np.arange(sizes[0] - 1), np.diff(bounds)) * 256 + labels, 1 << 62)
 
     def get(self, word: bytes) -> list[int] | None:
-        return self.get_all([word])[0]
+        place = self.places([word])[0]
+        return None if place < 0 else self.ids[self.id_bounds[place] : self.id_bounds[place + 1]].tolist()
 
-    def get_all(self, words: list[bytes]) -> list[list[int] | None]:
-        """All words walk through the automaton together, a byte in each round."""
+    def written(self, names: dict[int, str]) -> list[str]:
+        """The ids of each place as text."""
+        ids, bounds = [names[i] for i in self.ids.tolist()], self.id_bounds.tolist()
+        return [",".join(ids[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Each word's number, or -1. All words walk through the automaton together, a byte in each round."""
         lengths = np.array([len(w) for w in words], np.int64)
         data, start = np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
         state, place = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
@@ -273,10 +279,7 @@ class Lexicon:
             state[live] = self.targets[arc]
             i += 1
             live = live[lengths[live] > i]
-        known &= self.final[state] > 0
-        first, last = (self.id_bounds[np.where(known, place, 0) + k].tolist() for k in (0, 1))
-        ids = self.ids
-        return [ids[a:b].tolist() if k else None for k, a, b in zip(known.tolist(), first, last, strict=True)]
+        return np.where(known & (self.final[state] > 0), place, -1)
 
 
 def latin_pattern() -> str:
@@ -321,28 +324,28 @@ class Codec:
     def __init__(self, vocabulary: str, lexicon: str):
         self.vocabulary, self.lexicon = vocabulary_of(vocabulary), Lexicon(lexicon)
         self.split = splitter(self.vocabulary.special)
+        self.name = {i: str(i) for i in self.vocabulary.bytes}
+        self.listed = self.lexicon.written(self.name)
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.size = 0
 
     def learn(self, words: set[str]) -> None:
         """Remembers the ids of words."""
-        known, older, special = self.known, self.older, self.vocabulary.special
-        new = []
-        for w in words:
-            if w in older:
-                known[w] = older[w]
-            elif w in special:
-                known[w] = str(special[w])
-            else:
-                new.append(w)
-        raw = [w.encode() for w in new]
-        found = self.lexicon.get_all(raw)
-        unseen = [i for i, ids in enumerate(found) if ids is None]
+        known, older, special, name = self.known, self.older, self.vocabulary.special, self.name
+        again = words & older.keys()
+        fresh = list(words - again - special.keys())
+        raw = [w.encode() for w in fresh]
+        places = self.lexicon.places(raw)
+        listed = self.listed
+        found = [listed[p] for p in places.tolist()]  # -1 gives any; those are merged
+        unseen = np.flatnonzero(places < 0).tolist()
         for i, ids in zip(unseen, self.vocabulary.merge_all([raw[i] for i in unseen]), strict=True):
-            found[i] = ids
-        known.update(zip(new, [",".join(map(str, ids)) for ids in found], strict=True))
-        self.size += sum([len(known[w]) + len(w) + OVERHEAD for w in words])
+            found[i] = ",".join([name[x] for x in ids])
+        known.update({w: older[w] for w in again})
+        known.update({w: name[special[w]] for w in words & special.keys()})
+        known.update(zip(fresh, found, strict=True))
+        self.size += OVERHEAD * len(words) + sum(map(len, words)) + sum(map(len, found))
 
     def encode(self, texts: list[str]) -> list[str]:
         """The ids of each text, joined by commas."""
