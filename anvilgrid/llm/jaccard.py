@@ -380,7 +380,8 @@ def find_links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, work: Wo
     members = work.save(common.join(centers, "signature").groupBy("center", "node").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n")), "members")
     work.drop("able")
     # a text of each node that has neighbours
-    asked = nodes.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("least")).select("node", "least.*")
+    least = nodes.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("least")).select("node", "least.*")  # combined before the shuffle
+    asked = least.join(members.select("node").distinct(), "node", "left_semi")
     asked = work.save(asked, "asked")
     few = asked.count() <= BROADCAST_IDS
     texts = work.save(rows_of(docs).join(F.broadcast(asked) if few else asked, ["doc_id", "h"]).select("node", "text"), "texts")
