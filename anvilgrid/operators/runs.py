@@ -88,7 +88,9 @@ def duplicates(records: DataFrame, key: str) -> DataFrame:
 
 
 def summary_by_category(records: DataFrame, dataset: DataFrame) -> DataFrame:
-    """summary() with the rows that failed, for the known categories (also those without questions), then the others by name."""
+    """summary() with the rows that failed, for the known categories (also those without questions), then the others by name.
+
+    Its ratios round halves up at two digits, those of summary() to even."""
     known = records.sparkSession.createDataFrame([(c, i) for i, c in enumerate(CATEGORIES)], "category string, known int")
     own = dataset.join(records, "question_id", "left").select("category", F.col("run").isNotNull().alias("ran"), "is_correct", F.col("status").isin("error", "failed").alias("bad"))
     out = own.groupBy("category").agg(
@@ -98,7 +100,7 @@ def summary_by_category(records: DataFrame, dataset: DataFrame) -> DataFrame:
     counts = ["run_rows", "dataset_questions", "scored", "correct", "unscored", "failed"]
     out = out.join(F.broadcast(known), "category", "full").fillna(0, counts)
     place = F.row_number().over(Window.orderBy(F.asc_nulls_last("known"), "category"))  # a row for each category
-    ratio = lambda a, b: percent(F.col(a), F.nullif(F.col(b), F.lit(0)))
+    ratio = lambda a, b: F.round(F.try_divide(100.0 * F.col(a), F.col(b)) * 100) / 100
     return out.select("category", place.cast("long").alias("position"), *counts, ratio("correct", "scored").alias("accuracy"), ratio("scored", "dataset_questions").alias("coverage"))
 
 

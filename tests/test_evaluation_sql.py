@@ -14,7 +14,7 @@ def tables():
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
-    assert con.sql("select count(*) from documents where doc_id not in (select vec_id from embeddings)").fetchone()[0] > 400
+    assert con.sql("select count(*) from documents where doc_id not in (select vec_id from embeddings)").fetchall()[0][0] > 400
     return con
 
 
@@ -27,3 +27,7 @@ def same(spark, tables, name):
 @pytest.mark.parametrize("name", ["benchmark_run", "benchmark_blocks"])
 def test_statistics_count_texts_without_vectors(spark, tables, name):
     same(spark, tables, name)
+
+
+def test_ratios_of_categories_round_halves_up(spark, tables):
+    same(spark, tables, "summary_by_category")
