@@ -15,8 +15,8 @@ sets overlap in at least 3/7 of the sum of their sizes (a Jaccard similarity of
    are found.
 4. T-occurrence search. In a neighbourhood that holds several components, the members outside its largest one are indexed by
    shingle, in blocks; all members search these indexes. A search needs T of the query's inverted lists to name a node:
-   the L longest lists are set aside, the others are merged by a heap, nodes that they name at least T - L times are
-   probed in the long lists by binary search (DivideSkip). Nodes that are connected already are not linked again, so a
+   the L longest lists are set aside, the others are counted in one pass, nodes that they name at least T - L times are
+   probed in the long lists by binary search, all at once (DivideSkip). Nodes that are connected already are not linked again, so a
    group of copies yields a tree of links. Texts are dealt, not sets: they take less room, and sets are made anew.
 5. Components of the links, then the least doc_id of each.
 
@@ -29,7 +29,6 @@ compared each by its own text; a null doc_id counts as the least id and shows as
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import groupby
@@ -52,8 +51,8 @@ TASK_MEMBERS, BLOCK, BLOCK_SHINGLES = 2000, 2000, 2_000_000
 FREQUENT = 0.002
 #: So does one in so many rows whose digest is in the lowest part of all; of these the most frequent, LISTED at most.
 COMMON, LOWEST, LISTED = 8, 0.4, 2_000_000
-#: Weighs a binary probe against a step of the heap when the long lists are chosen.
-MU = 0.05
+#: Weighs a binary probe against a step of the count when the long lists are chosen.
+MU = 1.0
 #: Ids that are broadcast to pick texts; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 IS_WORD = not_bytes((9, 13), (32, 32))
@@ -242,11 +241,23 @@ class Index:
     """
 
     def __init__(self, sets: list[np.ndarray], sizes: list[int] | None = None):
-        self.sizes = [len(s) for s in sets] if sizes is None else sizes
-        self.lists: dict[int, list[int]] = {}
-        for i, s in enumerate(sets):
-            for x in s.tolist():
-                self.lists.setdefault(x, []).append(i)
+        own = np.array([len(s) for s in sets], np.int64)
+        self.sizes = own if sizes is None else np.array(sizes, np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, U64)
+        order = np.argsort(flat, kind="stable")  # the nodes of a list ascend
+        self.nodes = np.repeat(np.arange(len(sets)), own)[order]
+        self.keys, first = np.unique(flat[order], return_index=True)
+        self.bounds = np.append(first, len(flat))
+
+    def lists(self, query: np.ndarray) -> list[np.ndarray]:
+        """The lists of a query's shingles, the longest last."""
+        if not len(self.keys):
+            return []
+        at = np.minimum(np.searchsorted(self.keys, query), len(self.keys) - 1)
+        at = at[self.keys[at] == query]
+        first, last = self.bounds[at], self.bounds[at + 1]
+        order = np.argsort(last - first, kind="stable")
+        return [self.nodes[a:z] for a, z in zip(first[order].tolist(), last[order].tolist(), strict=True)]
 
     def search(self, query: np.ndarray, skip: Callable[[int], bool] = lambda node: False, size: int | None = None) -> Iterator[tuple[int, int]]:
         """(index of a node, overlap) of the nodes that link to the query, without those to skip."""
@@ -254,32 +265,28 @@ class Index:
         t = -(-3 * n // 4)
         if len(query) < t:
             return
-        get = self.lists.get
-        found = sorted((x for q in query.tolist() if (x := get(q))), key=len)
-        if len(found) < t:
+        found = self.lists(query)
+        if not found or len(found) < t:
             return
         longest = len(found[-1])
         aside = min(t - 1, int(t / (MU * np.log2(longest + 1) + 1))) if longest > 1 else 0
         short, long = found[: len(found) - aside], found[len(found) - aside :]
-        for node, named in groupby(heapq.merge(*short)):
-            count = sum(1 for _ in named)
-            m = self.sizes[node]
-            if count < t - aside or 4 * m < 3 * n or 4 * n < 3 * m or skip(node):
-                continue
-            need = -(-3 * (n + m) // 7)
-            for i, x in enumerate(long):
-                if count + len(long) - i < need:
-                    break
-                at = bisect(x, node)
-                count += at < len(x) and x[at] == node
-            if count >= need:
-                yield node, count
-
-
-def bisect(x: list[int], value: int) -> int:
-    from bisect import bisect_left
-
-    return bisect_left(x, value)
+        count = np.bincount(np.concatenate(short), minlength=len(self.sizes))
+        m = self.sizes
+        need = -(-3 * (n + m) // 7)
+        able = (count >= t - aside) & (count + aside >= need) & (4 * m >= 3 * n) & (4 * n >= 3 * m)
+        nodes = np.array([x for x in np.flatnonzero(able).tolist() if not skip(x)], np.int64)
+        count, need = count[nodes], need[nodes]
+        for i, x in enumerate(long):
+            if not len(nodes):
+                return
+            count += x[np.minimum(np.searchsorted(x, nodes), len(x) - 1)] == nodes
+            still = count + aside - 1 - i >= need
+            if not still.all():
+                nodes, count, need = nodes[still], count[still], need[still]
+        for node, overlap in zip(nodes.tolist(), count.tolist(), strict=True):
+            if not skip(node):  # a link found just now may have joined it
+                yield node, overlap
 
 
 class Components:
