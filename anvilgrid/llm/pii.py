@@ -6,11 +6,11 @@ these texts, most of them written in ways that the patterns miss (blanks, bracke
 other separators, numbers without plus). Where such a span is, and of which kind, is known from its making and not from
 the patterns; held_out_quality() measures on others of them what the network finds.
 
-A reported span holds a digit, an at sign or a spelled-out one by definition (CALLS), so windows lie around those, with
-the whole runs of non-blank characters that they reach or that blanks part from an at sign, and
-a stretch of text without any needs no window. Neighbouring windows overlap; the tag scores of a character are averaged
-over its windows, and the CRF decodes each chain of overlapping windows as a whole, so a span is never cut by a window's
-edge. Spans of the method are added if they meet no base span and nothing that a pattern
+Windows lie over the whole of every text, also where none of the kinds can be: a reported span holds a digit, an at sign or a
+spelled-out one by definition (CALLS). Neighbouring windows overlap; the tag scores of a character are averaged
+over its windows, and the CRF decodes each text as a whole, so a span is never cut by a window's edge. Where a character's
+scores outweigh whatever transitions may add, the best path is outside there, and of the stretches between, which hold all
+spans, those that hold a call are worked out. Spans of the method are added if they meet no base span and nothing that a pattern
 matched and its check rejected (of digit runs: those with as many digits as a card, 16 to 19).
 
 Defined cases: null or empty texts have no spans; runs of digits of any length are handled in linear time; without
@@ -39,6 +39,8 @@ MADE = 3
 SAMPLE_CHARS = 20_000
 #: Characters of a window, and how far windows reach around the characters that call for them.
 WINDOW, OVERLAP, REACH, WORD_REACH = 64, 32, 16, 40
+#: Characters of a window that is read, and of texts that are tagged at once.
+READ, CHARS_AT_ONCE = 256, 1_500_000
 HIDDEN, EMBEDDED = 20, 8
 N_TAGS = 1 + 2 * len(KINDS)
 #: The least mean certainty of an added span.
@@ -183,8 +185,30 @@ def new_parameters(seed: int = 7) -> dict[str, np.ndarray]:
 
 def emissions(x: np.ndarray, p: dict) -> np.ndarray:
     """Tag scores (time x batch x tags) of windows x (time x batch)."""
-    h = np.concatenate([Direction().forward(x, p, "f"), Direction().forward(x[::-1], p, "b")[::-1]], 2)
-    return h @ p["V"] + p["v"]
+    e = outputs(x, p, "f") @ p["V"][:HIDDEN] + p["v"]
+    e += outputs(x[::-1], p, "b")[::-1] @ p["V"][HIDDEN:]
+    return e
+
+
+def outputs(x: np.ndarray, p: dict, name: str) -> np.ndarray:
+    """Direction.forward() without what a gradient needs; a sigmoid is a tanh of half its argument."""
+    t, b = x.shape
+    half = np.full(4 * HIDDEN, 0.5, np.float32)
+    half[3 * HIDDEN :] = 1
+    inputs, u = (p["E"] @ p[f"W{name}"] + p[f"b{name}"]) * half, p[f"U{name}"] * half
+    h, c, hs = np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32), np.empty((t, b, HIDDEN), np.float32)
+    z, more = np.empty((b, 4 * HIDDEN), np.float32), np.empty((b, 4 * HIDDEN), np.float32)
+    for i in range(t):
+        np.take(inputs, x[i], 0, out=z, mode="clip")
+        z += np.matmul(h, u, out=more)
+        np.tanh(z, out=z)
+        g = z[:, : 3 * HIDDEN]
+        g *= 0.5
+        g += 0.5
+        c *= z[:, HIDDEN : 2 * HIDDEN]
+        c += z[:, :HIDDEN] * z[:, 3 * HIDDEN :]
+        h = np.multiply(np.tanh(c), z[:, 2 * HIDDEN : 3 * HIDDEN], out=hs[i])
+    return hs
 
 
 def logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -339,7 +363,7 @@ def disguise(text: str, spans: list[tuple[int, int, int]], rng) -> tuple[str, li
 
 
 def chains(text: str) -> list[tuple[int, int]]:
-    """The stretches that need windows: around each digit or at sign, joined where they meet. They end at blanks or at the
+    """The stretches around each digit or at sign, joined where they meet (windows lie over all of a text, see tag_texts()). They end at blanks or at the
     text's ends; no character is looked at again for each call, so long runs take linear time."""
     out: list[list[int]] = []
     for m in CALLS.finditer(text):
@@ -379,44 +403,86 @@ def viterbi(e: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.ndarray
     return tags
 
 
-def tag_texts(texts: list[str], p: dict[str, np.ndarray], at_once: int = 2048) -> list[list[tuple[int, int, int]]]:
-    """Spans of the network in each text, decoded over whole chains of overlapping windows."""
+def tag_texts(texts: list[str], p: dict[str, np.ndarray], at_once: int = 1024) -> list[list[tuple[int, int, int]]]:
+    """Spans of the network in each text, decoded over the whole text."""
+    out: list[list[tuple[int, int, int]]] = []
+    first = 0
+    while first < len(texts):
+        last, chars = first + 1, len(texts[first])
+        while last < len(texts) and chars + len(texts[last]) <= CHARS_AT_ONCE:
+            chars += len(texts[last])
+            last += 1
+        out += tag_some(texts[first:last], p, at_once)
+        first = last
+    return out
+
+
+def text_scores(flat: np.ndarray, bounds: np.ndarray, p: dict[str, np.ndarray], at_once: int) -> np.ndarray:
+    """Tag scores of every character of texts (symbols one after another), averaged over its windows."""
+    step = READ - OVERLAP
+    starts = [np.arange(a, max(a + 1, z - OVERLAP), step) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if z > a]
+    turn = np.concatenate([np.arange(len(s)) % 2 for s in starts]) if starts else np.zeros(0, np.int64)  # windows of one turn do not overlap
+    ends = np.repeat(bounds[1:][np.diff(bounds) > 0], [len(s) for s in starts])
+    start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    size = np.minimum(ends - start, READ)
+    padded = -(-size // WINDOW) * WINDOW  # by its own length, so that a window's scores do not depend on others
+    scores, times = np.zeros((len(flat), N_TAGS), np.float32), np.zeros(len(flat), np.float32)
+    for t in (0, 1):
+        for width in range(WINDOW, READ + 1, WINDOW):
+            those = np.flatnonzero((turn == t) & (padded == width))
+            for i in range(0, len(those), at_once):
+                part = those[i : i + at_once]
+                at = start[part] + np.arange(width)[:, None]
+                inside = at < start[part] + size[part]
+                e = emissions(np.where(inside, flat[np.minimum(at, len(flat) - 1)], 0), p)
+                scores[at[inside]] += e[inside]
+                times[at[inside]] += 1
+    return scores / np.maximum(times, 1)[:, None]
+
+
+def free(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Where the best path may be inside a span: putting it outside at any other character can only gain."""
+    lost = np.minimum(0, (trans[:, :1] - trans).min(0)) + np.minimum(0, (trans[:1] - trans).min(1))
+    return (scores[:, :1] - scores[:, 1:] + lost[1:] <= 0).any(1)
+
+
+def tag_some(texts: list[str], p: dict[str, np.ndarray], at_once: int) -> list[list[tuple[int, int, int]]]:
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    todo = []
-    for k, text in enumerate(texts):
-        for a, b in chains(text):
-            todo.append((k, a, symbols(text[a:b])))
-    windows = [(j, s) for j, (_, _, x) in enumerate(todo) for s in range(0, max(1, len(x) - OVERLAP), WINDOW - OVERLAP)]
-    scores = [np.zeros((len(x), N_TAGS), np.float32) for _, _, x in todo]
-    times = [np.zeros((len(x), 1), np.float32) for _, _, x in todo]
-    for i in range(0, len(windows), at_once):
-        part = windows[i : i + at_once]
-        x = np.zeros((WINDOW, len(part)), np.int64)
-        for c, (j, s) in enumerate(part):
-            piece = todo[j][2][s : s + WINDOW]
-            x[: len(piece), c] = piece
-        e = emissions(x, p)
-        for c, (j, s) in enumerate(part):
-            n = len(todo[j][2][s : s + WINDOW])
-            scores[j][s : s + n] += e[:n, c]
-            times[j][s : s + n] += 1
-    order = sorted(range(len(todo)), key=lambda j: len(todo[j][2]))
-    i = 0
+    bounds = np.cumsum([0, *map(len, texts)])
+    if not bounds[-1]:
+        return out
+    scores = text_scores(symbols("".join(texts)), bounds, p, at_once)
+    edge = np.zeros(len(scores) + 1, bool)
+    edge[bounds] = True
+    open_ = free(scores, p["T"])
+    begins = np.flatnonzero(open_ & (edge[:-1] | ~np.concatenate([[False], open_[:-1]])))
+    ends = 1 + np.flatnonzero(open_ & (edge[1:] | ~np.concatenate([open_[1:], [False]])))
+    of = np.searchsorted(bounds, begins, "right") - 1
+    begin, end = begins - bounds[of], ends - bounds[of]
+    called = np.array([bool(CALLS.search(texts[k], a, z)) for k, a, z in zip(of.tolist(), begin.tolist(), end.tolist(), strict=True)], bool)
+    begins, ends, of, begin = (x[called] for x in (begins, ends, of, begin))
+    order, i = np.argsort(ends - begins, kind="stable"), 0
     while i < len(order):
-        part = [order[i]]
-        while i + len(part) < len(order) and (len(part) + 1) * len(todo[order[i + len(part)]][2]) <= 200_000:
-            part.append(order[i + len(part)])
-        i += len(part)
-        lengths = np.array([len(todo[j][2]) for j in part])
-        e = np.zeros((int(lengths.max()), len(part), N_TAGS), np.float32)
+        n = 1
+        while i + n < len(order) and (n + 1) * (ends - begins)[order[i + n]] <= 200_000:
+            n += 1
+        part = order[i : i + n]
+        i += n
+        lengths = ends[part] - begins[part]
+        e = np.zeros((int(lengths.max()), n, N_TAGS), np.float32)
         for c, j in enumerate(part):
-            e[: lengths[c], c] = scores[j] / times[j]
+            e[: lengths[c], c] = scores[begins[j] : ends[j]]
+            if not edge[begins[j]]:
+                e[0, c] += p["T"][0]
+            if not edge[ends[j]]:
+                e[lengths[c] - 1, c] += p["T"][:, 0]
         tags = viterbi(e, p["T"], lengths)
         for c, j in enumerate(part):
-            k, a, _ = todo[j]
-            sure = np.exp(e[: lengths[c], c] - logsum(e[: lengths[c], c], 1)[:, None])
+            own = scores[begins[j] : ends[j]]
+            sure = np.exp(own - logsum(own, 1)[:, None])
+            k, a = int(of[j]), int(begin[j])
             out[k] += [(kind, a + s, a + t) for kind, s, t in read_tags(tags[: lengths[c], c], sure)]
-    return out
+    return [sorted(x, key=lambda s: s[1]) for x in out]
 
 
 def read_tags(tags: np.ndarray, sure: np.ndarray) -> list[tuple[int, int, int]]:
@@ -438,13 +504,12 @@ def read_tags(tags: np.ndarray, sure: np.ndarray) -> list[tuple[int, int, int]]:
 def find(texts: list[str], p: dict[str, np.ndarray] | None) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """(base spans, all spans) of each text."""
     both = [matches(t) for t in texts]
-    called = [i for i, t in enumerate(texts) if CALLS.search(t)]
-    more = dict(zip(called, tag_texts([texts[i] for i in called], p), strict=True)) if p and called else {}
+    more = tag_texts(texts, p) if p else [[] for _ in texts]
     out = []
     for i, (spans, failed) in enumerate(both):
         every = list(spans)
         rejected = [f for f in failed if f[0] != 2 or card_digits(texts[i][f[1] : f[2]])]
-        for k, a, b in more.get(i, []):
+        for k, a, b in more[i]:
             while a < b and texts[i][a].isspace():
                 a += 1
             while b > a and texts[i][b - 1].isspace():
