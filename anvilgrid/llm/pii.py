@@ -8,8 +8,8 @@ the patterns; held_out_quality() measures on others of them what the network fin
 
 Windows lie over the whole of every text, also where none of the kinds can be: a reported span holds a digit, an at sign or a
 spelled-out one by definition (CALLS). Neighbouring windows overlap; the tag scores of a character are averaged
-over its windows, and the CRF decodes each text as a whole, so a span is never cut by a window's edge. Where a character's
-scores outweigh whatever transitions may add, the best path is outside there, and of the stretches between, which hold all
+over its windows, and the CRF decodes each text as a whole, so a span is never cut by a window's edge. Where no run of inside
+tags, however long, can be worth as much as staying outside, the best path is outside (free()); of the stretches between, which hold all
 spans, those that hold a call are worked out. Spans of the method are added if they meet no base span and nothing that a pattern
 matched and its check rejected (of digit runs: those with as many digits as a card, 16 to 19).
 
@@ -52,6 +52,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 CALLS = re.compile(r"[0-9@]|[\[({] ?at ?[\])}]|(?<= )at (?=\S+ (?:dot|\.) )")
+DIGIT_OR_AT = re.compile(r"[0-9@]")
 BLANKS, RUN = re.compile(r"\s*"), re.compile(r"\S*")
 
 
@@ -95,9 +96,16 @@ def phone(m: re.Match) -> bool:
     return 8 <= sum(c.isdigit() for c in m[0]) <= 15
 
 
+def called(text: str, start: int, end: int) -> bool:
+    """Whether CALLS is found between start and end; its last forms need a bracket or the word itself there."""
+    if DIGIT_OR_AT.search(text, start, end):
+        return True
+    return (any(text.find(c, start, end) >= 0 for c in "[({") or text.find("at ", start, end) >= 0) and CALLS.search(text, start, end) is not None
+
+
 def matches(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Spans that the patterns match and their checks accept, and those that their checks reject."""
-    if not CALLS.search(text):
+    if not DIGIT_OR_AT.search(text):
         return [], []
     kept, failed = [(0, a, b) for a, b in emails(text)], []
     for k, pattern, check in ((1, IP, octets), (2, CARD, card), (3, PHONE, phone)):
@@ -113,11 +121,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 #: Characters as small numbers: printable ASCII by themselves, blanks, other letters, anything else.
 N_CHARS = 100
+SYMBOLS = np.array([97] * 32 + list(range(1, 96)) + [98] * (0x250 - 127) + [99], np.uint8)
 
 
 def symbols(text: str) -> np.ndarray:
-    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-    return np.where((c >= 32) & (c < 127), c - 31, np.where(c < 32, 97, np.where(c < 0x250, 98, 99)))
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return SYMBOLS[np.minimum(c, len(SYMBOLS) - 1)]
 
 
 def tags_of(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
@@ -184,31 +193,39 @@ def new_parameters(seed: int = 7) -> dict[str, np.ndarray]:
 
 
 def emissions(x: np.ndarray, p: dict) -> np.ndarray:
-    """Tag scores (time x batch x tags) of windows x (time x batch)."""
-    e = outputs(x, p, "f") @ p["V"][:HIDDEN] + p["v"]
-    e += outputs(x[::-1], p, "b")[::-1] @ p["V"][HIDDEN:]
-    return e
-
+    """Tag scores (time x batch x tags) of windows x (time x batch), as Direction.forward() gives them.
 
-def outputs(x: np.ndarray, p: dict, name: str) -> np.ndarray:
-    """Direction.forward() without what a gradient needs; a sigmoid is a tanh of half its argument."""
+    Both directions go side by side, with gates as rows and windows as columns, so that each step works on whole rows of
+    memory. A column holds the state, the character's vector and a one: a product with it is all that the gates need.
+    A sigmoid is (1 + tanh of half its argument) / 2; those halves are in the weights, and the state is held doubled.
+    """
     t, b = x.shape
-    half = np.full(4 * HIDDEN, 0.5, np.float32)
+    k = HIDDEN + EMBEDDED
+    half = np.full((4 * HIDDEN, 1), 0.5, np.float32)
     half[3 * HIDDEN :] = 1
-    inputs, u = (p["E"] @ p[f"W{name}"] + p[f"b{name}"]) * half, p[f"U{name}"] * half
-    h, c, hs = np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32), np.empty((t, b, HIDDEN), np.float32)
-    z, more = np.empty((b, 4 * HIDDEN), np.float32), np.empty((b, 4 * HIDDEN), np.float32)
+    gates = np.stack([np.concatenate([p[f"U{d}"].T / 2, p[f"W{d}"].T, p[f"b{d}"][:, None]], 1) * half for d in "fb"]).astype(np.float32)
+    columns = np.empty((2, t + 1, k + 1, b), np.float32)
+    columns[:, :, k] = 1
+    columns[:, 0, :HIDDEN] = 0
+    vectors = np.take(np.ascontiguousarray(p["E"].T), x, 1, mode="clip").transpose(1, 0, 2)
+    columns[0, :t, HIDDEN:k], columns[1, :t, HIDDEN:k] = vectors, vectors[::-1]
+    z, c, s = np.empty((2, 4 * HIDDEN, b), np.float32), np.zeros((2, HIDDEN, b), np.float32), np.empty((2, HIDDEN, b), np.float32)
+    into, forget, out, update = (z[:, i * HIDDEN : (i + 1) * HIDDEN] for i in range(4))
     for i in range(t):
-        np.take(inputs, x[i], 0, out=z, mode="clip")
-        z += np.matmul(h, u, out=more)
+        np.matmul(gates, columns[:, i], out=z)
         np.tanh(z, out=z)
-        g = z[:, : 3 * HIDDEN]
-        g *= 0.5
-        g += 0.5
-        c *= z[:, HIDDEN : 2 * HIDDEN]
-        c += z[:, :HIDDEN] * z[:, 3 * HIDDEN :]
-        h = np.multiply(np.tanh(c), z[:, 2 * HIDDEN : 3 * HIDDEN], out=hs[i])
-    return hs
+        z[:, : 3 * HIDDEN] += 1
+        c *= forget
+        into *= update
+        c += into
+        c *= 0.5
+        np.tanh(c, out=s)
+        np.multiply(s, out, out=columns[:, i + 1, :HIDDEN])
+    read = np.ascontiguousarray(p["V"].T / 2).astype(np.float32)
+    e = np.matmul(read[:, :HIDDEN], columns[0, 1:, :HIDDEN])
+    e += np.matmul(read[:, HIDDEN:], columns[1, :0:-1, :HIDDEN])
+    e += p["v"][:, None]
+    return e.transpose(0, 2, 1)
 
 
 def logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -386,24 +403,28 @@ def chains(text: str) -> list[tuple[int, int]]:
 
 
 def viterbi(e: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Best tags of chains (time x batch x tags); beyond its length a chain stays as it was."""
-    t, b, _ = e.shape
-    best, back = e[0].copy(), np.zeros(e.shape, np.int8)
+    """Best tags of chains (time x batch x tags); beyond its length a chain has none (0). Long chains come first inside, so
+    that each step works on those that are not over; which tag led to a best one is looked up on the way back alone."""
+    t, b, n_tags = e.shape
+    order = np.argsort(-lengths, kind="stable")
+    live = np.searchsorted(-lengths[order], -np.arange(t + 1), "left").tolist()
+    best = np.ascontiguousarray(e.transpose(0, 2, 1)[:, :, order])
+    sums, to = np.empty((n_tags, n_tags, b), np.result_type(e, trans)), trans[:, :, None]
     for i in range(1, t):
-        s = best[:, :, None] + trans
-        back[i] = s.argmax(1)
-        new = np.take_along_axis(s, back[i][:, None, :].astype(np.int64), 1)[:, 0] + e[i]
-        best = np.where((lengths > i)[:, None], new, best)
-    tags = np.zeros((t, b), np.int64)
-    now = best.argmax(1)
+        n = live[i]
+        best[i, :, :n] += np.add(best[i - 1, :, None, :n], to, out=sums[:, :, :n]).max(0)
+    tags, now = np.zeros((t, b), np.int64), np.zeros(b, np.int64)
     for i in range(t - 1, -1, -1):
-        tags[i] = np.where(lengths > i, now, 0)
-        if i:
-            now = np.where(lengths > i, back[i][np.arange(b), now], now)
+        n, more = live[i], live[i + 1]
+        if more:
+            now[:more] = (best[i, :, :more] + trans[:, now[:more]]).argmax(0)
+        if more < n:
+            now[more:n] = best[i, :, more:n].argmax(0)
+        tags[i, order[:n]] = now[:n]
     return tags
 
 
-def tag_texts(texts: list[str], p: dict[str, np.ndarray], at_once: int = 1024) -> list[list[tuple[int, int, int]]]:
+def tag_texts(texts: list[str], p: dict[str, np.ndarray], at_once: int = 256) -> list[list[tuple[int, int, int]]]:
     """Spans of the network in each text, decoded over the whole text."""
     out: list[list[tuple[int, int, int]]] = []
     first = 0
@@ -420,30 +441,61 @@ def tag_texts(texts: list[str], p: dict[str, np.ndarray], at_once: int = 1024) -
 def text_scores(flat: np.ndarray, bounds: np.ndarray, p: dict[str, np.ndarray], at_once: int) -> np.ndarray:
     """Tag scores of every character of texts (symbols one after another), averaged over its windows."""
     step = READ - OVERLAP
+    scores = np.zeros((N_TAGS, len(flat)), np.float32)
     starts = [np.arange(a, max(a + 1, z - OVERLAP), step) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if z > a]
-    turn = np.concatenate([np.arange(len(s)) % 2 for s in starts]) if starts else np.zeros(0, np.int64)  # windows of one turn do not overlap
-    ends = np.repeat(bounds[1:][np.diff(bounds) > 0], [len(s) for s in starts])
     start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    size = np.minimum(ends - start, READ)
+    size = np.minimum(np.repeat(bounds[1:][np.diff(bounds) > 0], [len(s) for s in starts]) - start, READ)
     padded = -(-size // WINDOW) * WINDOW  # by its own length, so that a window's scores do not depend on others
-    scores, times = np.zeros((len(flat), N_TAGS), np.float32), np.zeros(len(flat), np.float32)
-    for t in (0, 1):
-        for width in range(WINDOW, READ + 1, WINDOW):
-            those = np.flatnonzero((turn == t) & (padded == width))
-            for i in range(0, len(those), at_once):
-                part = those[i : i + at_once]
-                at = start[part] + np.arange(width)[:, None]
-                inside = at < start[part] + size[part]
-                e = emissions(np.where(inside, flat[np.minimum(at, len(flat) - 1)], 0), p)
-                scores[at[inside]] += e[inside]
-                times[at[inside]] += 1
-    return scores / np.maximum(times, 1)[:, None]
-
-
-def free(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Where the best path may be inside a span: putting it outside at any other character can only gain."""
-    lost = np.minimum(0, (trans[:, :1] - trans).min(0)) + np.minimum(0, (trans[:1] - trans).min(1))
-    return (scores[:, :1] - scores[:, 1:] + lost[1:] <= 0).any(1)
+    flat = np.concatenate([flat, np.zeros(READ, flat.dtype)])
+    for width in range(WINDOW, READ + 1, WINDOW):
+        those = np.flatnonzero(padded == width)
+        for i in range(0, len(those), at_once):
+            part = those[i : i + at_once]
+            x = flat[start[part] + np.arange(width)[:, None]]
+            x[np.arange(width)[:, None] >= size[part]] = 0
+            e = np.ascontiguousarray(emissions(x, p).transpose(1, 2, 0))
+            for own, a, n in zip(e, start[part].tolist(), size[part].tolist(), strict=True):
+                scores[:, a : a + n] += own[:, :n]
+    for s in starts:
+        for a in s[1:].tolist():  # where two windows lie
+            scores[:, a : a + OVERLAP] *= 0.5
+    return scores.T
+
+
+def potentials(trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(worth of being inside each tag, of a step into each, of a step back outside), over staying outside: with them a run of
+    inside tags is worth at most the sum of its steps', and that of the step back. Worths of tags cancel between."""
+    over = trans.astype(np.float64) - float(trans[0, 0])
+    inner, n = over[1:, 1:], len(trans) - 1
+    walks, cycle = np.zeros(n), -np.inf
+    sums = [walks]
+    for _ in range(n):
+        walks = (walks[:, None] + inner).max(0)
+        sums.append(walks)
+    for k in range(n):  # the greatest mean of a cycle (Karp)
+        cycle = max(cycle, min((sums[n][k] - sums[i][k]) / (n - i) for i in range(n)))
+    each = cycle + 0.1
+    worth = over[0, 1:] - each
+    for _ in range(n):
+        worth = np.maximum(worth, (worth[:, None] + inner).max(0) - each)
+    step = np.maximum(over[0, 1:], (worth[:, None] + inner).max(0)) - worth
+    return worth, step, float((worth + over[1:, 0]).max())
+
+
+def free(scores: np.ndarray, trans: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the best path may be inside a span: at the others every run of inside tags over them, of any length, is worth
+    less than staying outside. bounds: of the texts, at whose edges a run needs no step in or back."""
+    worth, step, back = potentials(trans)
+    gain = np.full(len(scores), -np.inf)
+    first, last = bounds[:-1][np.diff(bounds) > 0], bounds[1:][np.diff(bounds) > 0] - 1
+    for k in range(1, N_TAGS):
+        np.maximum(gain, scores[:, k] - scores[:, 0] + step[k - 1], out=gain)
+    gain[last] = (scores[last, 1:] - scores[last, :1] + step + np.maximum(0, worth - back)).max(1)
+    gain[first] = np.maximum(gain[first], (scores[first, 1:] - scores[first, :1] - worth).max(1))
+    gain[np.intersect1d(first, last)] = 1e6  # texts of one character
+    total = np.concatenate([[0.0], np.cumsum(gain)])
+    least, most = np.minimum.accumulate(total[:-1]), np.maximum.accumulate(total[:0:-1])[::-1]
+    return ~(most - least + back < -0.01)
 
 
 def tag_some(texts: list[str], p: dict[str, np.ndarray], at_once: int) -> list[list[tuple[int, int, int]]]:
@@ -454,13 +506,13 @@ def tag_some(texts: list[str], p: dict[str, np.ndarray], at_once: int) -> list[l
     scores = text_scores(symbols("".join(texts)), bounds, p, at_once)
     edge = np.zeros(len(scores) + 1, bool)
     edge[bounds] = True
-    open_ = free(scores, p["T"])
+    open_ = free(scores, p["T"], bounds)
     begins = np.flatnonzero(open_ & (edge[:-1] | ~np.concatenate([[False], open_[:-1]])))
     ends = 1 + np.flatnonzero(open_ & (edge[1:] | ~np.concatenate([open_[1:], [False]])))
     of = np.searchsorted(bounds, begins, "right") - 1
     begin, end = begins - bounds[of], ends - bounds[of]
-    called = np.array([bool(CALLS.search(texts[k], a, z)) for k, a, z in zip(of.tolist(), begin.tolist(), end.tolist(), strict=True)], bool)
-    begins, ends, of, begin = (x[called] for x in (begins, ends, of, begin))
+    some = np.array([called(texts[k], a, z) for k, a, z in zip(of.tolist(), begin.tolist(), end.tolist(), strict=True)], bool)
+    begins, ends, of, begin = (x[some] for x in (begins, ends, of, begin))
     order, i = np.argsort(ends - begins, kind="stable"), 0
     while i < len(order):
         n = 1
